@@ -1,4 +1,48 @@
-"""Registered queries of the training-data operators."""
+"""Registered queries of the training-data operators and the DuckDB statements SQL can offer for them."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geoloom.llm.canon import map_places
+from geoloom.llm.chunking import LIMIT, piece_table, split_documents
+from geoloom.llm.mixing import mix_sources
+from geoloom.util import table
+
+CANON_KEYS = ("addr:city", "brand", "operator")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapped = map_places(table(spark, sf_dir, "geo_places"), table(spark, sf_dir, "canon_values"), CANON_KEYS)
+    return mapped.select("id", "tag_key", "value_id")
+
+
+def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report by value: where each goes, how sure, and how many places have it."""
+    mapped = map_places(table(spark, sf_dir, "geo_places"), table(spark, sf_dir, "canon_values"), CANON_KEYS)
+    return mapped.groupBy("tag_key", "value", "value_id", "how").agg(F.count("*").alias("places"), F.round(F.max("similarity"), 4).alias("similarity"))
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix.documents
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix.shares.select("source", "target_share", "max_repeats", F.round("weight", 6).alias("weight"), "documents", "tokens", "most_copies", F.round("actual_share", 6).alias("actual_share"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
+    first = piece_table(docs).where("piece = 0")
+    return first.select(F.col("key").alias("doc_id"), (F.col("longest_run") > LIMIT).cast("int").alias("hard_cut"))
+
+
+def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p9_mix, p9_shares, p10_found, p10_pieces)}
 ORACLES: dict = {}
