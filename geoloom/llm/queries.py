@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geoloom.llm.canon import map_places
+from geoloom.functions.geo import point_of
+from geoloom.llm.canon import canon_entries, map_places
 from geoloom.llm.chunking import LIMIT, piece_table, split_documents
+from geoloom.llm.entity import match_entities
 from geoloom.llm.mixing import mix_sources
+from geoloom.operators.hierarchy import clean_key
 from geoloom.util import table
 
 CANON_KEYS = ("addr:city", "brand", "operator")
@@ -24,6 +27,35 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.groupBy("tag_key", "value", "value_id", "how").agg(F.count("*").alias("places"), F.round(F.max("similarity"), 4).alias("similarity"))
 
 
+def stop_like(tags: Column) -> Column:
+    """Whether a place is a stop or station by its tags; what stands next to one is not."""
+    has = lambda key, *values: F.coalesce(tags[key].isin(*values), F.lit(False))
+    return (
+        has("railway", "station", "halt", "platform", "stop", "tram_stop") | has("public_transport", "station", "platform", "stop_position", "stop_area")
+        | has("highway", "bus_stop") | has("amenity", "bus_station", "ferry_terminal")
+    )
+
+
+def entity_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = table(spark, sf_dir, "geo_places").where(stop_like(F.col("tags")))
+    at = point_of("centroid")
+    places = places.select(F.col("id").alias("key"), "name", at["lat"].alias("lat"), at["lon"].alias("lon"))
+    stops = table(spark, sf_dir, "gtfs_stops").where(clean_key("parent_station").isNull() & F.col("feed_id").isNotNull() & F.col("stop_id").isNotNull())
+    stops = stops.groupBy("feed_id", "stop_id").agg(F.min(F.trim("stop_name")).alias("name"), F.min("stop_lat").alias("lat"), F.min("stop_lon").alias("lon"))
+    towns = canon_entries(table(spark, sf_dir, "canon_values").where("tag_key = 'addr:city'"))  # its size is checked there
+    names = [x for _, name, aliases in towns.get("addr:city", []) for x in (name, *aliases)]
+    return match_entities(places, stops.select(F.struct("feed_id", "stop_id").alias("key"), F.col("feed_id").alias("scope"), "name", "lat", "lon"), localities=names)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entity_matches(spark, sf_dir).select(F.col("a").alias("id"), F.col("b.feed_id").alias("feed_id"), F.col("b.stop_id").alias("stop_id"))
+
+
+def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = entity_matches(spark, sf_dir)
+    return out.select(F.col("a").alias("id"), F.col("b.feed_id").alias("feed_id"), F.col("b.stop_id").alias("stop_id"), F.round("confidence", 4).alias("confidence"), F.round("score", 4).alias("score"), F.round("dist", 1).alias("dist_m"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return mix.documents
@@ -44,5 +76,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p5_found, p5_matches, p9_mix, p9_shares, p10_found, p10_pieces)}
 ORACLES: dict = {}
