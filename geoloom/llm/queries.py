@@ -10,6 +10,7 @@ from geoloom.llm.canon import canon_entries, map_places
 from geoloom.llm.chunking import LIMIT, piece_table, split_documents
 from geoloom.llm.entity import match_entities
 from geoloom.llm.mixing import mix_sources
+from geoloom.llm.neighbours import nearest_of_queries, similar_vectors
 from geoloom.operators.hierarchy import clean_key
 from geoloom.util import table
 
@@ -27,6 +28,18 @@ def p1_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapped.groupBy("tag_key", "value", "value_id", "how").agg(F.count("*").alias("places"), F.round(F.max("similarity"), 4).alias("similarity"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = similar_vectors(table(spark, sf_dir, "geo_places"), "id", "embedding", k=5, least=0.95)
+    return near.select(F.least("key_a", "key_b").alias("id_a"), F.greatest("key_a", "key_b").alias("id_b")).distinct()
+
+
+def p2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 most similar places of each place whose osm_id is divisible by 20, against all places."""
+    places = table(spark, sf_dir, "geo_places")
+    near = nearest_of_queries(places, places.where("osm_id % 20 = 0"), "id", "embedding", k=5)
+    return near.select(F.col("key_a").alias("id"), F.col("key_b").alias("other"), F.round("cosine", 5).alias("cosine"), "rank")
+
+
 def stop_like(tags: Column) -> Column:
     """Whether a place is a stop or station by its tags; what stands next to one is not."""
     has = lambda key, *values: F.coalesce(tags[key].isin(*values), F.lit(False))
@@ -76,5 +89,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p5_found, p5_matches, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p9_mix, p9_shares, p10_found, p10_pieces)}
 ORACLES: dict = {}
