@@ -9,6 +9,7 @@ from geoloom.functions.geo import point_of
 from geoloom.llm.canon import canon_entries, map_places
 from geoloom.llm.chunking import LIMIT, piece_table, split_documents
 from geoloom.llm.entity import match_entities
+from geoloom.llm.leaks import LEAST_RUN, find_leaks
 from geoloom.llm.mixing import mix_sources
 from geoloom.llm.neighbours import nearest_of_queries, similar_vectors
 from geoloom.operators.hierarchy import clean_key
@@ -69,6 +70,18 @@ def p5_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("a").alias("id"), F.col("b.feed_id").alias("feed_id"), F.col("b.stop_id").alias("stop_id"), F.round("confidence", 4).alias("confidence"), F.round("score", 4).alias("score"), F.round("dist", 1).alias("dist_m"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return leaks.where(F.col("run") >= LEAST_RUN).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole, partial and reworded leaks with their evidence."""
+    leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    told = (F.col("run") >= LEAST_RUN) | (F.col("subsequence") >= 0.6 * F.col("item_words"))
+    return leaks.where(told).select("doc_id", "item_id", "run", "subsequence", "item_words", "answer", F.round("cosine", 3).alias("cosine"))
+
+
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
     return mix.documents
@@ -89,5 +102,5 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p9_mix, p9_shares, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_pieces)}
 ORACLES: dict = {}
