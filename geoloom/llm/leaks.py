@@ -24,7 +24,7 @@ from geoloom.util import materialise
 
 PASSAGE, STRIDE = 24, 12
 RANK, OVERSAMPLE, POWER = 128, 16, 1
-COSINE = 0.35
+COSINE = 0.5
 FIT_DOCUMENTS = 2048  # bound of the hash sample of documents that the singular vectors are fitted on
 MAX_VOCABULARY = 200_000
 LEAST_RUN = 12
@@ -228,13 +228,13 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(prev[-1])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, least_run: int = LEAST_RUN) -> DataFrame:
     """(doc_id, item_id, run, subsequence, item_words, answer, cosine) of `docs` (doc_id, text) and `items` (item_id,
     item_text, answer): candidates by latent cosine with what the checks found.
 
     `run` is the longest stretch of consecutive common words, `subsequence` the longest common subsequence with the
     part of the document around the candidate passages, `answer` whether the item's answer stands there. Candidates
-    with fewer than 4 common words in a row and a subsequence under half of the item are dropped. Null and empty
+    with fewer than `least_run` common words in a row and a subsequence under half of the item are dropped. Null and empty
     texts leak nothing, items without words are never leaked; repeated documents come out once each if ids differ,
     of items with one id the one with the greatest text counts. Empty tables give an empty result.
     """
@@ -258,7 +258,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE) ->
     target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
     # A passage with a leaked stretch weighs at least as much as the lightest such stretch of any item.
     mass = idf.astype(np.float64) ** 2
-    light = min(float(np.convolve(mass[w], np.ones(min(len(w), LEAST_RUN)), "valid").min()) for w in held.words) * 0.999
+    light = min(float(np.convolve(mass[w], np.ones(min(len(w), least_run)), "valid").min()) for w in held.words) * 0.999
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -290,12 +290,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE) ->
                     member = np.zeros(held.size, bool)
                     member[item] = True
                     hit = np.flatnonzero(member[part])
-                    stretch = longest_run(part[hit[0] : hit[-1] + 1], item) if len(hit) else 0
-                    order = common_subsequence(part[hit], item) if len(hit) else 0
-                    if stretch < 4 and order < len(item) / 2:
+                    breaks = np.flatnonzero(np.diff(hit) != 1)
+                    dense = np.diff(np.concatenate(([-1], breaks, [len(hit) - 1]))).max() if len(hit) else 0
+                    if dense < least_run and len(hit) < len(item) / 2:
+                        continue  # neither check can reach its limit
+                    stretch = longest_run(part[hit[0] : hit[-1] + 1], item)
+                    order = common_subsequence(part[hit], item)
+                    if stretch < least_run and order < len(item) / 2:
                         continue
                     answer = held.answers[k]
-                    told = bool(len(answer)) and len(hit) > 0 and longest_run(part, answer) == len(answer)
+                    told = bool(len(answer)) and longest_run(part, answer) == len(answer)
                     out.append((doc_id, held.ids[k], stretch, order, len(item), told, c))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "run", "subsequence", "item_words", "answer", "cosine"])
 
