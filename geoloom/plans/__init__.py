@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("data",)
+MODULES = ("data", "places")
 
 
-def collect(kind: str, attribute: str) -> dict:
-    """All entries of `geoloom.plans.{module}_{kind}`."""
+def collect(attribute: str) -> dict:
+    """All entries of `QUERIES` or `ORACLES` of the modules."""
     out: dict = {}
     for name in MODULES:
-        out |= getattr(importlib.import_module(f"geoloom.plans.{name}_{kind}"), attribute)
+        out |= getattr(importlib.import_module(f"geoloom.plans.{name}"), attribute)
     return out

@@ -12,6 +12,7 @@ from geoloom.operators.dualtree import spatial_join
 from geoloom.operators.hierarchy import clean_key, descendants, resolve_hierarchy
 from geoloom.operators.packed import packed_tags
 from geoloom.operators.rolling import latest_versions, rolling_totals
+from geoloom.plans.data_oracles import ORACLES
 from geoloom.util import table
 
 PACKED_KEYS = ("cuisine", "alt_name", "ref", "contact:phone", "destination")
@@ -81,3 +82,5 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p4_found, p6_found, p6_paths, p6_descendants, p7_found, p7_totals)}
+
+__all__ = ["ORACLES", "QUERIES"]
