@@ -260,7 +260,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, lea
     mass = idf.astype(np.float64) ** 2
     light = min(float(np.convolve(mass[w], np.ones(min(len(w), least_run)), "valid").min()) for w in held.words) * 0.999
 
+    item_words = [np.unique(w) for w in held.words]
+    item_counts = [np.bincount(w, minlength=held.size)[u] for w, u in zip(held.words, item_words)]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        members: dict[int, np.ndarray] = {}
         for batch in batches:
             out: list[tuple] = []
             for doc_id, raw in zip(batch["doc_id"], batch["words"]):
@@ -285,15 +289,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, lea
                         near[k] = (max(c, float(sim[i, j])), min(low, int(at[i])), max(high, int(at[i]) + PASSAGE))
                 for k, (c, low, high) in near.items():
                     item = held.words[k]
+                    if k not in members:
+                        if len(members) > 256:
+                            members.clear()
+                        members[k] = np.zeros(held.size, bool)
+                        members[k][item] = True
                     part = words[max(0, low - len(item)) : high + len(item)]
-                    # Only words near one of the item's own matter to either check.
-                    member = np.zeros(held.size, bool)
-                    member[item] = True
-                    hit = np.flatnonzero(member[part])
+                    # Bounds of either check: a common stretch lies within a run of the item's own words, and a
+                    # common subsequence takes each word no more often than both sides have it.
+                    have = np.bincount(part, minlength=held.size)
+                    most = int(np.minimum(have[item_words[k]], item_counts[k]).sum())
+                    hit = np.flatnonzero(members[k][part])
                     breaks = np.flatnonzero(np.diff(hit) != 1)
                     dense = np.diff(np.concatenate(([-1], breaks, [len(hit) - 1]))).max() if len(hit) else 0
-                    if dense < least_run and len(hit) < len(item) / 2:
-                        continue  # neither check can reach its limit
+                    if dense < least_run and most < len(item) / 2:
+                        continue
                     stretch = longest_run(part[hit[0] : hit[-1] + 1], item)
                     order = common_subsequence(part[hit], item)
                     if stretch < least_run and order < len(item) / 2:
