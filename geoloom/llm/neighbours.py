@@ -17,11 +17,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geoloom.util import materialise
+from geoloom.util import forget, materialise
 
 CURVES, DIMS, BITS, WINDOW = 8, 24, 2, 48
-SLACK = 0.01  # half precision may move a cosine by less
 QUERY_BLOCK_MB = 64
+_GOOD = "vec is not null and size(vec) > 0 and forall(vec, v -> v is not null and not isnan(v) and abs(v) < 1e30) and exists(vec, v -> v != 0)"
 
 
 def hilbert_key(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -62,11 +62,42 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def encode(vectors: pd.Series) -> list[bytes]:
+    """Vectors as bytes without loss: in half precision where that holds every component, else in single."""
+    out = []
+    for v in vectors:
+        x = np.asarray(v, np.float32)
+        with np.errstate(over="ignore"):
+            half = x.astype(np.float16)
+        out.append(half.tobytes() if np.array_equal(half.astype(np.float32), x) else x.tobytes())
+    return out
+
+
+def decode(codes: pd.Series, width: int) -> np.ndarray:
+    """The vectors of `encode`, as rows."""
+    raw = list(codes)
+    if all(len(c) == 2 * width for c in raw):
+        return np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), width).astype(np.float32)
+    return np.stack([np.frombuffer(c, np.float16 if len(c) == 2 * width else np.float32).astype(np.float32) for c in raw])
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+
+
+def exact_cosines(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of row pairs in double precision, to nine digits."""
+    out = np.empty(len(a))
+    for s in range(0, len(a), 8192):
+        p, q = x[a[s : s + 8192]].astype(np.float64), x[b[s : s + 8192]].astype(np.float64)
+        out[s : s + 8192] = (p * q).sum(1) / np.sqrt((p * p).sum(1) * (q * q).sum(1))
+    return np.round(out, 9)
+
+
 def usable_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
     """(key, vec) of the rows whose vector is neither null nor empty nor zero and holds no null, NaN or infinity;
     of repeated keys one row counts, the one with the smallest vector."""
-    good = F.col("vec").isNotNull() & (F.size("vec") > 0) & F.forall("vec", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < 1e30)) & F.exists("vec", lambda v: v != 0)
-    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vec")).where(F.col("key").isNotNull()).where(good)
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vec")).where(F.col("key").isNotNull()).where(_GOOD)
     return rows.groupBy("key").agg(F.min("vec").alias("vec"))
 
 
@@ -119,102 +150,95 @@ def similar_vectors(
     as their neighbours. With `least`, only neighbours of at least that cosine come out (among the k best). The
     search is approximate: see the README for measured recall.
     """
-    rows = usable_vectors(df, key, vector)
+    rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vec")).where(F.col("key").isNotNull()).where(_GOOD)
     key_type = rows.schema["key"].dataType.simpleString()
-    # Exact copies: the smallest keys of each vector, found in two steps so that no group is held by one task.
-    salted = rows.withColumn("copy", F.xxhash64("vec")).withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(64)))
-    first = F.row_number().over(W.partitionBy("copy", "vec", "salt").orderBy("key"))
-    part = salted.withColumn("r", first)
-    low = part.where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(W.partitionBy("copy", "vec").orderBy("key"))).where(F.col("r") <= k + 1)
-    base = materialise(low.select("key", "copy", "vec", "r"))
-    extra = salted.join(base.select("key"), "key", "left_anti")
-
-    head = base.select("vec").first()
+    head = rows.select("vec").first()
     if head is None:
         return df.sparkSession.createDataFrame([], f"key_a {key_type}, key_b {key_type}, cosine double, rank int")
-    bases = _projections(len(head.vec), curves, dims, seed)
-    spread = len(head.vec) ** -0.5
+    width = len(head.vec)
+    bases = _projections(width, curves, dims, seed)
+    spread = width**-0.5
+
+    def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"key": batch["key"], "code": encode(batch["vec"])})
+
+    once = rows.mapInPandas(coded, f"key {key_type}, code binary").groupBy("key").agg(F.min("code").alias("code"))
+    base = materialise(once)
+    # Exact copies: the smallest keys of each vector, found in two steps so that no group is held by one task.
+    marks = base.select("key", F.sha2("code", 256).alias("copy"), F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
+    part = marks.withColumn("r", F.row_number().over(W.partitionBy("copy", "salt").orderBy("key")))
+    low = part.where(F.col("r") <= k + 1).withColumn("r", F.row_number().over(W.partitionBy("copy").orderBy("key")))
+    # Groups of more than k + 1 copies: their first k keys, and the members that need not be searched.
+    large = part.groupBy("copy", "salt").agg(F.count("*").alias("n")).groupBy("copy").agg(F.sum("n").alias("n")).where(F.col("n") > k + 1).select("copy")
+    firsts = materialise(low.join(large, "copy", "left_semi").where(F.col("r") <= k + 1).select("key", "copy", "r"))
+    extra = materialise(marks.join(large, "copy", "left_semi").join(firsts.select("key"), "key", "left_anti").select("key", "copy"))
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for s in range(0, len(batch), 4096):
                 cut = batch.iloc[s : s + 4096]
-                x = _unit(cut["vec"])
+                x = unit_rows(decode(cut["code"], width))
                 keys = np.empty((len(cut), curves), np.int64)
                 for c, (q, shift) in enumerate(bases):
                     y = (x @ q) / (6 * spread) + 0.5 + (shift - 0.5) / (1 << bits)
                     keys[:, c] = hilbert_key(np.clip(y * (1 << bits), 0, (1 << bits) - 1).astype(np.int64), bits)
-                half = x.astype(np.float16)
-                yield pd.DataFrame({"id": cut["id"].to_numpy(), "half": [r.tobytes() for r in half], "keys": list(keys)})
-
-    # Short ids for the long way: the pairs are few, and only they are joined with the keys again.
-    ids = materialise(base.withColumn("id", F.monotonically_increasing_id()))
-    placed = materialise(ids.select("id", "vec").mapInPandas(keyed, "id bigint, half binary, keys array<bigint>"))
-    ordered = placed.select("id", "half", F.posexplode("keys").alias("curve", "at"))
-    ordered = ordered.repartitionByRange("curve", "at", "id").sortWithinPartitions("curve", "at", "id")
+                yield pd.DataFrame({"key": cut["key"], "code": cut["code"], "keys": list(keys)})
+
+    searched = base.join(extra.select("key"), "key", "left_anti")
+    placed = materialise(searched.mapInPandas(keyed, f"key {key_type}, code binary, keys array<bigint>"))
+    forget(base)
+    ordered = placed.select("key", "code", F.posexplode("keys").alias("curve", "at"))
+    ordered = ordered.repartitionByRange("curve", "at", "key").sortWithinPartitions("curve", "at", "key").select("key", "code")
     keep = k + 3
-    floor_ = None if least is None else least - SLACK
+    floor_ = None if least is None else least - 1e-4  # single precision against double
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId()
-        ids_, v = np.zeros(0, np.int64), None
-        head_ids, head_rows = [], 0
+        names, x = np.zeros(0, object), np.zeros((0, width), np.float32)
+        head_rows: list[pd.DataFrame] = []
+        n_head = 0
         for batch in batches:
-            x = np.frombuffer(b"".join(batch["half"]), np.float16).reshape(len(batch), -1).astype(np.float32)
-            new = batch["id"].to_numpy()
-            if head_rows < window:
-                take = min(window - head_rows, len(new))
-                head_ids.append(pd.DataFrame({"a": new[:take], "half": batch["half"].iloc[:take].to_numpy(), "pos": np.arange(head_rows, head_rows + take)}))
-                head_rows += take
-            old = len(ids_)
-            ids_ = np.concatenate((ids_, new))
-            v = x if v is None else np.concatenate((v, x))
-            a, b, s = _window_pairs(v, window, keep, floor_, old)
+            if n_head < window:
+                take = min(window - n_head, len(batch))
+                head_rows.append(pd.DataFrame({"key_1": batch["key"].iloc[:take].to_numpy(), "code": batch["code"].iloc[:take].to_numpy(), "pos": np.arange(n_head, n_head + take)}))
+                n_head += take
+            old = len(names)
+            names = np.concatenate((names, batch["key"].to_numpy(object)))
+            x = np.concatenate((x, decode(batch["code"], width)))
+            a, b, s = _window_pairs(unit_rows(x), window, keep, floor_, old)
             sel = _best_per_row(a, b, s, keep)
-            yield pd.DataFrame({"a": ids_[a[sel]], "b": ids_[b[sel]], "cosine": s[sel], "edge": -1, "pos": 0, "half": None})
-            ids_, v = ids_[-window:], v[-window:]
-        if v is not None:
-            tail = pd.DataFrame({"a": ids_, "half": [r.astype(np.float16).tobytes() for r in v], "pos": np.arange(-len(ids_), 0)})
-            for rows_, edge in ((pd.concat(head_ids), number - 1), (tail, number)):
-                yield rows_.assign(b=0, cosine=np.float32(0), edge=edge)[["a", "b", "cosine", "edge", "pos", "half"]]
+            a, b = a[sel], b[sel]
+            yield pd.DataFrame({"key_1": names[a], "key_2": names[b], "cosine": exact_cosines(x, a, b), "edge": -1, "pos": 0, "code": None})
+            names, x = names[-window:], x[-window:]
+        if len(names):
+            tail = pd.DataFrame({"key_1": names, "code": encode(pd.Series(list(x))), "pos": np.arange(-len(names), 0)})
+            for part_, edge in ((pd.concat(head_rows), number - 1), (tail, number)):
+                yield part_.assign(key_2=None, cosine=0.0, edge=edge)[["key_1", "key_2", "cosine", "edge", "pos", "code"]]
 
-    slid = materialise(ordered.mapInPandas(slide, "a bigint, b bigint, cosine float, edge int, pos int, half binary"))
+    slid = materialise(ordered.mapInPandas(slide, f"key_1 {key_type}, key_2 {key_type}, cosine double, edge int, pos int, code binary"))
 
     def join_edges(rows_: pd.DataFrame) -> pd.DataFrame:
         rows_ = rows_.sort_values("pos", kind="stable")
-        v = np.frombuffer(b"".join(rows_["half"]), np.float16).reshape(len(rows_), -1).astype(np.float32)
+        x = decode(rows_["code"], width)
         n_old = int((rows_["pos"] < 0).sum())
-        a, b, s = _window_pairs(v, window, keep, floor_, n_old)
+        a, b, s = _window_pairs(unit_rows(x), window, keep, floor_, n_old)
         cross = b < n_old
         a, b, s = a[cross], b[cross], s[cross]
         sel = _best_per_row(a, b, s, keep)
-        name = rows_["a"].to_numpy()
-        return pd.DataFrame({"a": name[a[sel]], "b": name[b[sel]], "cosine": s[sel]})
+        names = rows_["key_1"].to_numpy(object)
+        return pd.DataFrame({"key_1": names[a[sel]], "key_2": names[b[sel]], "cosine": exact_cosines(x, a[sel], b[sel])})
 
     # An edge has at most two windows' rows.
-    edges = slid.where("edge >= 0").groupBy("edge").applyInPandas(join_edges, "a bigint, b bigint, cosine float")
-    found = slid.where("edge = -1").select("a", "b", "cosine").unionByName(edges)
-    pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # Exact cosines, then the k best of each side; a vector meets at most (k + 3) * curves candidates of its own.
-    named = ids.select("id", "key", "vec")
-    full = pairs.join(named.select(F.col("id").alias("a"), F.col("key").alias("key_1"), F.col("vec").alias("v1")), "a")
-    full = full.join(named.select(F.col("id").alias("b"), F.col("key").alias("key_2"), F.col("vec").alias("v2")), "b").select("key_1", "key_2", "v1", "v2")
-
-    def rerank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for s in range(0, len(batch), 4096):
-                cut = batch.iloc[s : s + 4096]
-                x, y = (np.stack([np.asarray(v, np.float64) for v in cut[c]]) for c in ("v1", "v2"))
-                cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-                yield pd.DataFrame({"key_1": cut["key_1"], "key_2": cut["key_2"], "cosine": np.round(cos, 9)})
-
-    exact = materialise(full.mapInPandas(rerank, f"key_1 {key_type}, key_2 {key_type}, cosine double"))
-    both = exact.select(F.col("key_1").alias("key_a"), F.col("key_2").alias("key_b"), "cosine").unionByName(exact.select(F.col("key_2").alias("key_a"), F.col("key_1").alias("key_b"), "cosine"))
+    edges = slid.where("edge >= 0").groupBy("edge").applyInPandas(join_edges, f"key_1 {key_type}, key_2 {key_type}, cosine double")
+    found = slid.where("edge = -1").select("key_1", "key_2", "cosine").unionByName(edges)
+    # The windows' cosines are exact already: what is left is to merge the curves and rank.
+    ways = F.array(F.struct(F.col("key_1").alias("key_a"), F.col("key_2").alias("key_b")), F.struct(F.col("key_2").alias("key_a"), F.col("key_1").alias("key_b")))
+    both = found.select("cosine", F.explode(ways).alias("w")).select("w.key_a", "w.key_b", "cosine").groupBy("key_a", "key_b").agg(F.max("cosine").alias("cosine"))
     if least is not None:
         both = both.where(F.col("cosine") >= least)
     # The other members of a group of copies: their k nearest are the group's k smallest keys.
-    copies = extra.join(base.where(F.col("r") <= k).select("copy", "vec", F.col("key").alias("other")), ["copy", "vec"])
+    copies = extra.join(firsts.where(F.col("r") <= k).select("copy", F.col("key").alias("other")), "copy")
     both = both.unionByName(copies.select(F.col("key").alias("key_a"), F.col("other").alias("key_b"), F.lit(1.0).alias("cosine")))
     ranked = both.withColumn("rank", F.row_number().over(W.partitionBy("key_a").orderBy(F.desc("cosine"), "key_b")))
     return ranked.where(F.col("rank") <= k)
