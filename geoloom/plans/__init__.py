@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("data", "places")
+MODULES = ("data", "places", "search")
 
 
 def collect(attribute: str) -> dict:
