@@ -1 +1 @@
-"""streaming of the engine."""
+"""Structured Streaming: sources, stateful operators and sinks."""
