@@ -12,7 +12,11 @@ from geoloom.util import shared_dir
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's files as a stream; its schema is the table's."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)  # a stream reads directories
 
 
 def append_all(stream: DataFrame) -> DataFrame:
