@@ -1 +1 @@
-"""sources of the engine."""
+"""Readers of public formats and writers of tables and texts."""

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from geoloom.util import shared_dir
+from geoloom.util import scratch
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,7 +21,7 @@ def file_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def append_all(stream: DataFrame) -> DataFrame:
     """Runs an append-mode stream to the end of what is available into a Parquet table and reads that."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     q = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -32,15 +31,13 @@ def upsert_all(stream: DataFrame, keys: list[str]) -> DataFrame:
     """Runs an update-mode aggregation to the end; each batch's rows replace those of their keys. A batch is written
     under its own number, so a batch that is run again after a failure replaces itself."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
 
     q = stream.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    from pyspark.sql import functions as F
-
     written = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
     rest = [c for c in stream.columns if c not in keys]
     return written.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_v")).select(*keys, "_v.*")

@@ -32,15 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cuts the lineage: writes `df` as a table in the shared folder and reads that back.
 
     Unlike a cached or locally checkpointed frame, the table survives the loss of any executor.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/geoloom-{uuid.uuid4().hex}"
+    path = scratch(spark, "geoloom")
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
