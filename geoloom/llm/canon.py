@@ -216,7 +216,7 @@ def match_values(values: list[str], canon: Canon) -> list[tuple[int, float, str]
     apart = np.zeros(len(pair_k), bool)
     slips = np.minimum(edit_distance(one, two), edit_distance([fold(w) for w in one], [fold(x) for x in two]))
     for p, n, x in zip(where, slips.tolist(), two):
-        apart[p] |= n > max(2, allowed_edits(len(x))) or n >= len(x) - 1
+        apart[p] |= n > max(2, allowed_edits(len(x))) or 0 < n >= len(x) - 1
     best: dict[int, tuple[int, int, int]] = {}
     for p in fits.tolist():
         if not apart[p]:

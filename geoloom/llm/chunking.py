@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.tokens import VOCABULARY, tokenizer
-from geoloom.util import materialise
+from geoloom.util import materialise, spread
 
 LIMIT, OVERLAP = 4000, 200
 RANGE_CHARS, HALO_CHARS = 65_536, 4_096
@@ -205,7 +205,7 @@ def piece_table(docs: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
     and longest_run (tokens of the longest unbroken run of letters and digits, counted for runs over 250 characters).
     Texts of at most `limit` bytes cannot have more tokens and are not tokenized. Null and empty texts give no row.
     """
-    big = docs.where(F.octet_length("text") > limit).select("key", "text", F.char_length("text").alias("n"))
+    big = spread(docs.where(F.octet_length("text") > limit)).select("key", "text", F.char_length("text").alias("n"))
     ranges = big.select("key", "text", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / range_chars).cast("int"))).alias("range_no"))
     first = F.col("range_no") * range_chars
     lead = F.when(F.col("range_no") > 0, 1).otherwise(0)
@@ -242,7 +242,9 @@ def split_files(files: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
         for batch in batches:
             for name in batch["path"]:
                 n = os.path.getsize(name)
-                k = range(-(-n // range_bytes)) if n > limit else range(0)
+                if n <= limit:
+                    continue
+                k = range(-(-n // range_bytes))
                 yield pd.DataFrame({"path": [name] * len(k), "range_no": pd.Series(k, dtype="int32"), "n": pd.Series([n] * len(k), dtype="int64")})
 
     def read(name: str, first: int, size: int) -> tuple[str, int, int]:

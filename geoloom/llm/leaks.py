@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geoloom.util import materialise
+from geoloom.util import materialise, spread
 
 PASSAGE, STRIDE = 24, 12
 RANK, OVERSAMPLE, POWER = 128, 16, 1
@@ -89,7 +89,7 @@ def _code(docs: DataFrame, items: Items) -> DataFrame:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "words": coded})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, words binary")
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, f"doc_id {kind}, words binary")
 
 
 def _frequencies(coded: DataFrame, items: Items, dtype: type) -> tuple[np.ndarray, int]:

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.llm.tokens import VOCABULARY, tokenizer
-from geoloom.util import materialise
+from geoloom.util import materialise, spread
 
 MAX_SOURCES = 100_000
 ROWS_PER_BLOCK = 4096
@@ -37,7 +37,7 @@ def count_tokens(docs: DataFrame, id_col: str, text: str, keep: list[str], path:
             yield out
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep]) + ", n_tokens bigint"
-    return docs.select(id_col, *keep, text).mapInPandas(run, schema)
+    return spread(docs.select(id_col, *keep, text)).mapInPandas(run, schema)
 
 
 def tempered(sizes: dict[str, int], targets: dict[str, float], a: float) -> dict[str, float]:

@@ -21,6 +21,7 @@ from geoloom.util import forget, materialise
 
 CURVES, DIMS, BITS, WINDOW = 8, 24, 2, 48
 QUERY_BLOCK_MB = 64
+_PAIR = -2  # marks rows that are pairs among rows of partitions' edges
 _GOOD = "vec is not null and size(vec) > 0 and forall(vec, v -> v is not null and not isnan(v) and abs(v) < 1e30) and exists(vec, v -> v != 0)"
 
 
@@ -129,6 +130,14 @@ def _window_pairs(v: np.ndarray, window: int, keep: int, least: float | None, fi
     return np.concatenate(rows), np.concatenate(cands), np.concatenate(sims)
 
 
+def _others(names: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs without those of a row and itself, which meet where one curve ends and the next begins."""
+    same = np.flatnonzero(s > 0.999)
+    keep = np.ones(len(a), bool)
+    keep[same] = names[a[same]] != names[b[same]]
+    return a[keep], b[keep], s[keep]
+
+
 def _best_per_row(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
     """Positions of the `keep` highest pairs of each row, either end counting as the row."""
     ends, other, val, pos = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((s, s)), np.tile(np.arange(len(a)), 2)
@@ -206,10 +215,10 @@ def similar_vectors(
             old = len(names)
             names = np.concatenate((names, batch["key"].to_numpy(object)))
             x = np.concatenate((x, decode(batch["code"], width)))
-            a, b, s = _window_pairs(unit_rows(x), window, keep, floor_, old)
+            a, b, s = _others(names, *_window_pairs(unit_rows(x), window, keep, floor_, old))
             sel = _best_per_row(a, b, s, keep)
             a, b = a[sel], b[sel]
-            yield pd.DataFrame({"key_1": names[a], "key_2": names[b], "cosine": exact_cosines(x, a, b), "edge": -1, "pos": 0, "code": None})
+            yield pd.DataFrame({"key_1": names[a], "key_2": names[b], "cosine": exact_cosines(x, a, b), "edge": _PAIR, "pos": 0, "code": None})
             names, x = names[-window:], x[-window:]
         if len(names):
             tail = pd.DataFrame({"key_1": names, "code": encode(pd.Series(list(x))), "pos": np.arange(-len(names), 0)})
@@ -222,16 +231,16 @@ def similar_vectors(
         rows_ = rows_.sort_values("pos", kind="stable")
         x = decode(rows_["code"], width)
         n_old = int((rows_["pos"] < 0).sum())
-        a, b, s = _window_pairs(unit_rows(x), window, keep, floor_, n_old)
+        names = rows_["key_1"].to_numpy(object)
+        a, b, s = _others(names, *_window_pairs(unit_rows(x), window, keep, floor_, n_old))
         cross = b < n_old
         a, b, s = a[cross], b[cross], s[cross]
         sel = _best_per_row(a, b, s, keep)
-        names = rows_["key_1"].to_numpy(object)
         return pd.DataFrame({"key_1": names[a[sel]], "key_2": names[b[sel]], "cosine": exact_cosines(x, a[sel], b[sel])})
 
     # An edge has at most two windows' rows.
     edges = slid.where("edge >= 0").groupBy("edge").applyInPandas(join_edges, f"key_1 {key_type}, key_2 {key_type}, cosine double")
-    found = slid.where("edge = -1").select("key_1", "key_2", "cosine").unionByName(edges)
+    found = slid.where(F.col("edge") == _PAIR).select("key_1", "key_2", "cosine").unionByName(edges)
     # The windows' cosines are exact already: what is left is to merge the curves and rank.
     ways = F.array(F.struct(F.col("key_1").alias("key_a"), F.col("key_2").alias("key_b")), F.struct(F.col("key_2").alias("key_a"), F.col("key_1").alias("key_b")))
     both = found.select("cosine", F.explode(ways).alias("w")).select("w.key_a", "w.key_b", "cosine").groupBy("key_a", "key_b").agg(F.max("cosine").alias("cosine"))
@@ -244,6 +253,17 @@ def similar_vectors(
     return ranked.where(F.col("rank") <= k)
 
 
+def _first_best(y: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k highest values, of equal ones those that stand first, in their order."""
+    if y.shape[1] <= k:
+        return y, other
+    last = np.partition(y, -k, axis=1)[:, -k][:, None]
+    equal = y == last
+    room = k - (y > last).sum(1, keepdims=True)
+    at = np.nonzero((y > last) | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(y), k)
+    return np.take_along_axis(y, at, 1), np.take_along_axis(other, at, 1)
+
+
 def nearest_of_queries(df: DataFrame, queries: DataFrame, key: str, vector: str, *, k: int = 5) -> DataFrame:
     """(key_a, key_b, cosine, rank): the exact k most similar other vectors of each row of `queries`, against all rows
     of `df`, the queries in blocks of `QUERY_BLOCK_MB`; each block is one pass over the rows with partial top k.
@@ -258,7 +278,7 @@ def nearest_of_queries(df: DataFrame, queries: DataFrame, key: str, vector: str,
     if head is None:
         return df.sparkSession.createDataFrame([], f"{out_type}, rank int")
     rows = materialise(rows)
-    per_block = max(1, QUERY_BLOCK_MB * 1_000_000 // (8 * len(head.vec)))
+    per_block = max(1, int(QUERY_BLOCK_MB * 1_000_000) // (8 * len(head.vec)))
     blocks = -(-asked.count() // per_block)
     best: DataFrame | None = None
     for block in range(blocks):
@@ -272,16 +292,16 @@ def nearest_of_queries(df: DataFrame, queries: DataFrame, key: str, vector: str,
             top: tuple[np.ndarray, np.ndarray] | None = None
             for batch in batches:
                 for s in range(0, len(batch), 1024):
-                    cut = batch.iloc[s : s + 1024]
+                    cut = batch.iloc[s : s + 1024].sort_values("key")
                     y = np.round(_unit(cut["vec"]).astype(np.float64) @ q, 9).T
                     other = cut["key"].to_numpy()
                     y[names[:, None] == other[None, :]] = -2
-                    other = np.broadcast_to(other, y.shape)
+                    y, other = _first_best(y, np.broadcast_to(other, y.shape), k)
                     if top is not None:
                         y, other = np.concatenate((top[0], y), 1), np.concatenate((top[1], other), 1)
-                    w = min(k + 4, y.shape[1])
-                    sel = np.argpartition(-y, w - 1, axis=1)[:, :w]
-                    top = np.take_along_axis(y, sel, 1), np.take_along_axis(other, sel, 1)
+                        order = np.argsort(other, axis=1, kind="stable")
+                        y, other = _first_best(np.take_along_axis(y, order, 1), np.take_along_axis(other, order, 1), k)
+                    top = y, other
             if top is not None:
                 i, j = np.nonzero(top[0] > -2)
                 yield pd.DataFrame({"key_a": names[i], "key_b": top[1][i, j], "cosine": top[0][i, j]})
