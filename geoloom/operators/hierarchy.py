@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from geoloom.util import materialise
 
 SPLITTER_RATE = 4
-WALK_LIMIT = 32
+WALK_LIMIT = 12
 STEPS_PER_TABLE = 4
 
 

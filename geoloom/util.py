@@ -50,6 +50,13 @@ def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df` on at least as many partitions as there are cores. Only an input of few, large row groups is moved; at
+    scale a scan has more partitions than cores and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def forget(df: DataFrame) -> None:
     """Deletes the table behind a frame that `materialise` returned and no later result needs."""
     names = {name.rsplit("/", 2)[-2] for name in df.inputFiles()}

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from geoloom.operators.packed import _batch_items, packed_tags, read_packed, split_packed
 
 CASES = {
-    "": [], " ; ;": [], "a": ["a"], "a; b ,c": ["a", "b", "c"], '"a; b";c': ["a; b", "c"], '"say ""x""";y': ['say "x"', "y"], "a\;b;c": ["a;b", "c"],
+    "": [], " ; ;": [], "a": ["a"], "a; b ,c": ["a", "b", "c"], '"a; b";c': ["a; b", "c"], '"say ""x""";y': ['say "x"', "y"], "a\\;b;c": ["a;b", "c"],
     "“p, q”、r": ["p, q", "r"], 'a;"b;c': ["a", "b", "c"], "fish & chips\ntea": ["fish & chips", "tea"], '“a "b" c”;d': ['a "b" c', "d"], "x" * 70000 + ";y": ["x" * 70000, "y"],
 }
 
