@@ -38,7 +38,7 @@ def p2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 5 most similar places of each place whose osm_id is divisible by 20, against all places."""
     places = table(spark, sf_dir, "geo_places")
     near = nearest_of_queries(places, places.where("osm_id % 20 = 0"), "id", "embedding", k=5)
-    return near.select(F.col("key_a").alias("id"), F.col("key_b").alias("other"), F.round("cosine", 5).alias("cosine"), "rank")
+    return near.select(F.col("key_a").alias("id"), F.col("key_b").alias("other"), "cosine", "rank")
 
 
 def stop_like(tags: Column) -> Column:
@@ -106,7 +106,7 @@ QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_fo
 ORACLES: dict = {
     "p2_topk": """WITH v AS (SELECT id, any_value(osm_id) AS osm_id, any_value(embedding)::DOUBLE[] AS e FROM geo_places WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
 s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.osm_id % 20 = 0 AND a.id <> b.id)
-SELECT id, other, round(c, 5) AS cosine, row_number() OVER (PARTITION BY id ORDER BY c DESC, other)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
+SELECT id, other, c AS cosine, row_number() OVER (PARTITION BY id ORDER BY c DESC, other)::INTEGER AS rank FROM s QUALIFY rank <= 5""",
     "p2_found": """WITH v AS (SELECT id, any_value(embedding)::DOUBLE[] AS e FROM geo_places WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
 s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.id <> b.id),
 k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
