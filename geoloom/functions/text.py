@@ -66,6 +66,26 @@ def similarity(a: Column | str, b: Column | str) -> Column:
     return F.when(all_ == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / all_)
 
 
+def query_trigrams(query: str) -> list[str]:
+    """The trigrams of a fixed text."""
+    padded = [f"  {w} " for w in re.findall(r"[^\W_]+", query.lower())]
+    return sorted({p[i : i + 3] for p in padded for i in range(len(p) - 2)})
+
+
+def shared_trigrams(text: Column | str, query: str) -> Column:
+    """How many of a fixed text's trigrams a text has: substring tests only, no list is built."""
+    padded = F.concat(F.lit("  "), F.regexp_replace(F.lower(_c(text)), r"[^\p{L}\p{N}]+", "   "), F.lit(" "))
+    return sum((padded.contains(t).cast("int") for t in query_trigrams(query)), F.lit(0))
+
+
+def like_filter(text: Column | str, query: str, least: float) -> Column:
+    """What must hold for a similarity of at least `least`: that share of the query's trigrams is there. Rows that
+    fail never have their own trigrams taken."""
+    import math
+
+    return shared_trigrams(text, query) >= max(1, math.ceil(least * len(query_trigrams(query)) - 1e-9))
+
+
 def search_tokens(name, names, name_abbrev, categories, parent_context, is_crossing: Column) -> Column:
     """The words a place is found by: name ('&' as and/et/und/y/e, apostrophes dropped, for crossings also the short
     forms of road types and all names), abbreviation, categories and parent context, without accents."""

@@ -160,7 +160,7 @@ def layers(places: DataFrame, r: Request) -> list[DataFrame]:
                 rank = best * (0.3 + 0.7 * covered / len(words)) * demotion()
             else:
                 rank = whole * demotion()
-            like = df.where("name is not null").withColumn("_sim", whole).where(F.col("_sim") >= SIMILAR)
+            like = df.where("name is not null").where(txt.like_filter("name", q, SIMILAR)).withColumn("_sim", whole).where(F.col("_sim") >= SIMILAR)
             out.append(top(like, rank, [F.desc(F.round("_sim", 9))], 4, r.limit))
     return out
 

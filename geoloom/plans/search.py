@@ -76,7 +76,7 @@ def fts_prefix(spark, sf_dir):
 
 @query(f"WITH {P}, d AS (SELECT id, name, {similarity_sql('name', repr('Brouglyrt Market'))} AS sim FROM p WHERE name IS NOT NULL) SELECT id, name, round(sim, 4) AS sim FROM d WHERE sim >= 0.3")
 def trigram_fuzzy(spark, sf_dir):
-    rows = found(spark, sf_dir).where("name is not null").withColumn("sim", txt.similarity("name", F.lit("Brouglyrt Market")))
+    rows = places(spark, sf_dir).where("name is not null").where(txt.like_filter("name", "Brouglyrt Market", s.SIMILAR)).withColumn("sim", txt.similarity("name", F.lit("Brouglyrt Market")))
     return rows.where(F.col("sim") >= s.SIMILAR).select("id", "name", F.round("sim", 4).alias("sim"))
 
 

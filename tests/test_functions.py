@@ -61,6 +61,12 @@ def test_text(spark):
     assert got == ["tarn", "street", "st", "and", "et", "und", "y", "e", "joes", "t", "highway", "x", "under"]
 
 
+def test_cheap_trigram_filter_is_exact(spark):
+    names = ["Market Hall", "market", "Hall of Mars", "", "x", "Ämter Hall", "the market-hall"]
+    got = values(spark, "string", names, text.shared_trigrams("x", "market hall"), F.size(F.array_intersect(text.trigrams("x"), text.trigrams(F.lit("market hall")))), text.similarity("x", F.lit("market hall")), text.like_filter("x", "market hall", 0.3))
+    assert all(a == b and (keep or sim < 0.3) for a, b, sim, keep in got)
+
+
 def test_geometry(spark):
     assert values(spark, "string", ["POINT(1 2)", "SRID=4326;POINT (-1.5  2e0)", "POINT EMPTY", "LINESTRING(0 0, 1 1)", None], geo.point_of("x"))[:2] == [(1.0, 2.0), (-1.5, 2.0)]
     one = spark.range(1)
