@@ -37,7 +37,7 @@ def count_tokens(docs: DataFrame, id_col: str, text: str, keep: list[str], path:
             yield out
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in [id_col, *keep]) + ", n_tokens bigint"
-    return spread(docs.select(id_col, *keep, text)).mapInPandas(run, schema)
+    return docs.select(id_col, *keep, text).mapInPandas(run, schema)
 
 
 def tempered(sizes: dict[str, int], targets: dict[str, float], a: float) -> dict[str, float]:
@@ -102,7 +102,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, size: float | None = Non
     if (n := wanted.count()) > MAX_SOURCES:
         raise ValueError(f"{n} sources exceed {MAX_SOURCES}")
     rows = {r.source: r for r in wanted.collect()}
-    used = docs.join(wanted.select("source"), "source", "left_semi")
+    used = spread(docs.select("doc_id", "source", "text")).join(wanted.select("source"), "source", "left_semi")
     counted = materialise(count_tokens(used, "doc_id", "text", ["source"], path).where("n_tokens > 0"))
     totals = {r.source: (r.tokens, r.n) for r in counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")).collect()}
     sizes = {s: t for s, (t, _) in totals.items()}

@@ -59,7 +59,7 @@ def _projections(width: int, curves: int, dims: int, seed: int) -> list[tuple[np
 
 
 def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack([np.asarray(v, np.float32) for v in vectors])
+    x = np.stack([np.asarray(v, np.float64) for v in vectors])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -286,14 +286,14 @@ def nearest_of_queries(df: DataFrame, queries: DataFrame, key: str, vector: str,
         if mine.empty:
             continue
         names = mine["key"].to_numpy()
-        q = _unit(mine["vec"]).astype(np.float64).T
+        q = _unit(mine["vec"]).T
 
         def scan(batches: Iterator[pd.DataFrame], names=names, q=q) -> Iterator[pd.DataFrame]:
             top: tuple[np.ndarray, np.ndarray] | None = None
             for batch in batches:
                 for s in range(0, len(batch), 1024):
                     cut = batch.iloc[s : s + 1024].sort_values("key")
-                    y = np.round(_unit(cut["vec"]).astype(np.float64) @ q, 9).T
+                    y = np.round(_unit(cut["vec"]) @ q, 9).T
                     other = cut["key"].to_numpy()
                     y[names[:, None] == other[None, :]] = -2
                     y, other = _first_best(y, np.broadcast_to(other, y.shape), k)
