@@ -253,17 +253,6 @@ def similar_vectors(
     return ranked.where(F.col("rank") <= k)
 
 
-def _first_best(y: np.ndarray, other: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row the k highest values, of equal ones those that stand first, in their order."""
-    if y.shape[1] <= k:
-        return y, other
-    last = np.partition(y, -k, axis=1)[:, -k][:, None]
-    equal = y == last
-    room = k - (y > last).sum(1, keepdims=True)
-    at = np.nonzero((y > last) | (equal & (np.cumsum(equal, axis=1) <= room)))[1].reshape(len(y), k)
-    return np.take_along_axis(y, at, 1), np.take_along_axis(other, at, 1)
-
-
 def nearest_of_queries(df: DataFrame, queries: DataFrame, key: str, vector: str, *, k: int = 5) -> DataFrame:
     """(key_a, key_b, cosine, rank): the exact k most similar other vectors of each row of `queries`, against all rows
     of `df`, the queries in blocks of `QUERY_BLOCK_MB`; each block is one pass over the rows with partial top k.
@@ -285,26 +274,43 @@ def nearest_of_queries(df: DataFrame, queries: DataFrame, key: str, vector: str,
         mine = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toPandas()  # a block, bounded above
         if mine.empty:
             continue
-        names = mine["key"].to_numpy()
-        q = _unit(mine["vec"]).T
+        names = mine["key"].to_numpy(object)
+        q = _unit(mine["vec"])
 
         def scan(batches: Iterator[pd.DataFrame], names=names, q=q) -> Iterator[pd.DataFrame]:
-            top: tuple[np.ndarray, np.ndarray] | None = None
+            """The best k of each query among a task's rows. Single precision finds what may be among them, with room
+            for its error; those are measured in double precision."""
+            q32 = q.astype(np.float32)
+            best = pd.DataFrame({"q": np.zeros(0, np.int64), "key": np.zeros(0, object), "c": np.zeros(0)})
+            least = np.full(len(names), -np.inf)
             for batch in batches:
                 for s in range(0, len(batch), 1024):
-                    cut = batch.iloc[s : s + 1024].sort_values("key")
-                    y = np.round(_unit(cut["vec"]) @ q, 9).T
-                    other = cut["key"].to_numpy()
-                    y[names[:, None] == other[None, :]] = -2
-                    y, other = _first_best(y, np.broadcast_to(other, y.shape), k)
-                    if top is not None:
-                        y, other = np.concatenate((top[0], y), 1), np.concatenate((top[1], other), 1)
-                        order = np.argsort(other, axis=1, kind="stable")
-                        y, other = _first_best(np.take_along_axis(y, order, 1), np.take_along_axis(other, order, 1), k)
-                    top = y, other
-            if top is not None:
-                i, j = np.nonzero(top[0] > -2)
-                yield pd.DataFrame({"key_a": names[i], "key_b": top[1][i, j], "cosine": top[0][i, j]})
+                    x = _unit(batch["vec"].iloc[s : s + 1024])
+                    keys = batch["key"].iloc[s : s + 1024].to_numpy(object)
+                    y = q32 @ x.astype(np.float32).T
+                    if len(keys) > k:  # a row that k others of its block beat is none of the best
+                        low = np.partition(y, -k, axis=1)[:, -k] if np.isinf(least).any() else np.full(len(names), -np.inf)
+                    else:
+                        low = np.full(len(names), -np.inf)
+                    # The query itself may be among the k of its block, so one place more is kept where it is.
+                    own = np.isin(names, keys)
+                    low = np.where(own, -np.inf, low)
+                    i, j = np.nonzero(y >= np.maximum(least, low)[:, None] - 1e-5)
+                    other = names[i] != keys[j]
+                    i, j = i[other], j[other]
+                    if not len(i):
+                        continue
+                    c = np.concatenate([np.round((q[i[t : t + 8192]] * x[j[t : t + 8192]]).sum(1), 9) for t in range(0, len(i), 8192)])
+                    new = pd.DataFrame({"q": i, "key": keys[j], "c": c})
+                    touched = np.unique(i)
+                    held = best["q"].isin(touched)
+                    merged = pd.concat((best[held], new)).sort_values(["q", "c", "key"], ascending=[True, False, True]).groupby("q").head(k)
+                    full = merged.groupby("q")["c"].agg(["size", "min"])
+                    full = full[full["size"] >= k]
+                    least[full.index.to_numpy()] = full["min"].to_numpy()
+                    best = pd.concat((best[~held], merged))
+            if len(best):
+                yield pd.DataFrame({"key_a": names[best["q"].to_numpy()], "key_b": best["key"].to_numpy(object), "cosine": best["c"].to_numpy()})
 
         part = rows.mapInPandas(scan, out_type)
         best = part if best is None else best.unionByName(part)
