@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("GEOLOOM_TEST_DATA", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="test tables not here")
 
 

@@ -55,3 +55,32 @@ def test_simplify(spark):
     assert len(small) >= 4 and small[0] == small[-1]
     df = spark.createDataFrame([(line,), (None,)], "l array<array<double>>")
     assert [r[0] for r in df.select(simplified("l", 30.0)).collect()] == [few, None]
+
+
+def test_store_lets_boxes_skip_row_groups(spark, tmp_path):
+    import glob
+    import random
+
+    import pyarrow.parquet as pq
+
+    from geoloom.operators.pipeline import store_places
+
+    rnd = random.Random(0)
+    path = str(tmp_path / "p")
+    df = spark.createDataFrame([(i, rnd.uniform(-80, 80), rnd.uniform(-170, 170)) for i in range(4000)] + [(-1, None, None)], "id int, lat double, lon double")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        store_places(df, path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    boxes = []
+    for f in glob.glob(f"{path}/*.parquet"):
+        md = pq.ParquetFile(f).metadata
+        for g in range(md.num_row_groups):
+            lat, lon = md.row_group(g).column(1).statistics, md.row_group(g).column(2).statistics
+            boxes.append((lat.min, lat.max, lon.min, lon.max))
+    touched = [b for b in boxes if b[0] <= 11 and b[1] >= 10 and b[2] <= 11 and b[3] >= 10]
+    assert spark.read.parquet(path).count() == 4001 and len(boxes) >= 16 and len(touched) <= len(boxes) / 4
