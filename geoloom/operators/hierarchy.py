@@ -74,8 +74,12 @@ def resolve_hierarchy(links: DataFrame, *, paths: bool = False) -> DataFrame:
         if left.isEmpty():
             break
     else:
+        # The last step reached a node that no step has tested; it may be a splitter or a root.
+        left = materialise(left.join(step, same & (F.col("cur") == F.col("_n"))).select(*left.columns, F.col("_stop").alias("stop")))
+        done.append(left.where("stop").drop("stop"))
+        left = left.where("not stop").drop("stop")
         # No splitter within the limit: double the pointers of these nodes among themselves.
-        solved, left = done, materialise(left)
+        solved = done
         done = [*solved, *_double(left, solved, total, paths)]
     reached = _union(done)
 

@@ -59,3 +59,10 @@ def test_empty_and_blank(spark):
 def test_one_parent_of_most_rows(spark):
     links = [("t", "", "root", None)] + [("t", "", f"k{i}", "root") for i in range(500)]
     check(spark, links)
+
+
+def test_walk_that_ends_at_a_root(spark):
+    # Chains a little longer than a walk: in some of them its last step reaches the root, or a splitter, untested.
+    links = [("t", f"s{c}", f"{c}-{i}", f"{c}-{i - 1}" if i else None) for c in range(300) for i in range(16)]
+    links += [("t", "ring", f"r{i}", f"r{(i + 1) % 20}") for i in range(20)]
+    check(spark, links)
