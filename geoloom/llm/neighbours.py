@@ -3,7 +3,8 @@
 Vectors are scaled to length one and projected on several random orthonormal bases; in each projection, shifted by a
 random offset, they are ordered along a Hilbert curve. Each ordering is range-partitioned, a window slides over it,
 and the windows' best candidates of all orderings are merged and ranked again by the exact cosine. Windows that reach
-over a partition's edge are completed by a second, small step over the edges' rows.
+over a partition's edge are completed by a second, small step over the edges' rows. Where a window is crowded with
+near copies, the best may lie beyond it on every curve: such rows are compared with all rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from geoloom.util import forget, materialise
 
 CURVES, DIMS, BITS, WINDOW = 8, 24, 2, 48
 QUERY_BLOCK_MB = 64
-_PAIR = -2  # marks rows that are pairs among rows of partitions' edges
+CROWD, CROWD_MARGIN = 16, 0.15  # so many rows of a window this little below `least`: the window may be too small
+_PAIR, _CROWDED = -2, -3  # marks of rows that are pairs, and of rows in a crowd, among rows of partitions' edges
 _GOOD = "vec is not null and size(vec) > 0 and forall(vec, v -> v is not null and not isnan(v) and abs(v) < 1e30) and exists(vec, v -> v != 0)"
 
 
@@ -130,6 +132,61 @@ def _window_pairs(v: np.ndarray, window: int, keep: int, least: float | None, fi
     return np.concatenate(rows), np.concatenate(cands), np.concatenate(sims)
 
 
+def _crowded(v: np.ndarray, window: int, floor: float, first_new: int = 0) -> np.ndarray:
+    """Rows that have at least `CROWD` others of at least `floor` within the window, as far as seen from `first_new` on."""
+    near = np.zeros(len(v), np.int64)
+    for s in range(first_new, len(v), 512):
+        e, lo = min(len(v), s + 512), max(0, s - window)
+        back = np.arange(s, e)[:, None] - np.arange(lo, e)[None, :]
+        close = (v[s:e] @ v[lo:e].T >= floor) & (back > 0) & (back <= window)
+        near[s:e] += close.sum(1)
+        near[lo:e] += close.sum(0)
+    return np.flatnonzero(near >= CROWD)
+
+
+def _against_all(rows: DataFrame, asked: DataFrame, width: int, k: int, floor: float, key_type: str) -> list[DataFrame]:
+    """Pairs (key_1, key_2, cosine) of `asked` with all `rows` (both key, code): those that can be among the `k` best of
+    either side and reach `floor`. The asked go in blocks of `QUERY_BLOCK_MB`, each one pass over the rows."""
+    per_block = max(1, int(QUERY_BLOCK_MB * 1_000_000) // (8 * width))
+    blocks = -(-asked.count() // per_block)
+    out = []
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == block).toPandas()  # a block, bounded above
+        if mine.empty:
+            continue
+        names, raw = mine["key"].to_numpy(object), decode(mine["code"], width)
+
+        def scan(batches: Iterator[pd.DataFrame], names=names, raw=raw) -> Iterator[pd.DataFrame]:
+            q, place = unit_rows(raw), pd.Index(names)
+            best = np.full((len(q), k), -2, np.float32)
+            for batch in batches:
+                for s in range(0, len(batch), 1024):
+                    cut = batch.iloc[s : s + 1024]
+                    x, keys = decode(cut["code"], width), cut["key"].to_numpy(object)
+                    at, unit = place.get_indexer(pd.Index(keys)), unit_rows(x).T
+                    for lo in range(0, len(q), 4096):
+                        hi = min(lo + 4096, len(q))
+                        y = q[lo:hi] @ unit
+                        own = np.flatnonzero((at >= lo) & (at < hi))
+                        y[at[own] - lo, own] = -3
+                        n = min(k, y.shape[1])
+                        best[lo:hi] = np.partition(np.concatenate((best[lo:hi], np.partition(y, -n, axis=1)[:, -n:]), axis=1), -k, axis=1)[:, -k:]
+                        # With room for the error of single precision; the row itself is at -3.
+                        wanted = y >= np.maximum(best[lo:hi].min(1), floor)[:, None] - 2e-5
+                        lone = np.flatnonzero((at < 0) & (y.max(0) >= floor))
+                        if len(lone):
+                            n = min(k, hi - lo)
+                            sub = y[:, lone]
+                            wanted[:, lone] |= sub >= np.maximum(np.partition(sub, -n, axis=0)[-n], floor)[None, :] - 2e-5
+                        i, j = np.nonzero(wanted & (y > -2.5))
+                        if len(i):
+                            both = np.concatenate((raw[lo:hi], x))
+                            yield pd.DataFrame({"key_1": names[lo + i], "key_2": keys[j], "cosine": exact_cosines(both, i, j + hi - lo)})
+
+        out.append(rows.mapInPandas(scan, f"key_1 {key_type}, key_2 {key_type}, cosine double"))
+    return out
+
+
 def _others(names: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The pairs without those of a row and itself, which meet where one curve ends and the next begins."""
     same = np.flatnonzero(s > 0.999)
@@ -156,8 +213,10 @@ def similar_vectors(
     Null, empty, zero and non-finite vectors take no part; repeated keys count once; all vectors must be of one
     length. Equal cosines rank by the smaller key. Vectors equal to the last bit are stored once with their `k + 1`
     smallest keys, which is all that any ranking can need of them; the other members of such a group get those keys
-    as their neighbours. With `least`, only neighbours of at least that cosine come out (among the k best). The
-    search is approximate: see the README for measured recall.
+    as their neighbours. With `least`, only neighbours of at least that cosine come out (among the k best). Rows that
+    have `CROWD` rows of at least `least` (0.95 where it is not given) less `CROWD_MARGIN` in a window are compared
+    with all rows, so pairs with one of them are exact, at the cost of (such rows) x (all rows). Between the others
+    the search is approximate: see the README for measured recall.
     """
     rows = df.select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("vec")).where(F.col("key").isNotNull()).where(_GOOD)
     key_type = rows.schema["key"].dataType.simpleString()
@@ -201,6 +260,7 @@ def similar_vectors(
     ordered = ordered.repartitionByRange("curve", "at", "key").sortWithinPartitions("curve", "at", "key").select("key", "code")
     keep = k + 3
     floor_ = None if least is None else least - 1e-4  # single precision against double
+    crowd_floor = (0.95 if least is None else least) - CROWD_MARGIN
 
     def slide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId()
@@ -215,10 +275,14 @@ def similar_vectors(
             old = len(names)
             names = np.concatenate((names, batch["key"].to_numpy(object)))
             x = np.concatenate((x, decode(batch["code"], width)))
-            a, b, s = _others(names, *_window_pairs(unit_rows(x), window, keep, floor_, old))
+            unit = unit_rows(x)
+            a, b, s = _others(names, *_window_pairs(unit, window, keep, floor_, old))
             sel = _best_per_row(a, b, s, keep)
             a, b = a[sel], b[sel]
             yield pd.DataFrame({"key_1": names[a], "key_2": names[b], "cosine": exact_cosines(x, a, b), "edge": _PAIR, "pos": 0, "code": None})
+            crowd = np.unique(names[_crowded(unit, window, crowd_floor, old)])
+            if len(crowd):
+                yield pd.DataFrame({"key_1": crowd, "key_2": None, "cosine": 0.0, "edge": _CROWDED, "pos": 0, "code": None})
             names, x = names[-window:], x[-window:]
         if len(names):
             tail = pd.DataFrame({"key_1": names, "code": encode(pd.Series(list(x))), "pos": np.arange(-len(names), 0)})
@@ -241,6 +305,10 @@ def similar_vectors(
     # An edge has at most two windows' rows.
     edges = slid.where("edge >= 0").groupBy("edge").applyInPandas(join_edges, f"key_1 {key_type}, key_2 {key_type}, cosine double")
     found = slid.where(F.col("edge") == _PAIR).select("key_1", "key_2", "cosine").unionByName(edges)
+    crowded = slid.where(F.col("edge") == _CROWDED).select(F.col("key_1").alias("key")).distinct()
+    crowded = materialise(placed.select("key", "code").join(crowded, "key", "left_semi"))
+    for pairs in _against_all(placed.select("key", "code"), crowded, width, k, -2.0 if floor_ is None else floor_, key_type):
+        found = found.unionByName(pairs)
     # The windows' cosines are exact already: what is left is to merge the curves and rank.
     ways = F.array(F.struct(F.col("key_1").alias("key_a"), F.col("key_2").alias("key_b")), F.struct(F.col("key_2").alias("key_a"), F.col("key_1").alias("key_b")))
     both = found.select("cosine", F.explode(ways).alias("w")).select("w.key_a", "w.key_b", "cosine").groupBy("key_a", "key_b").agg(F.max("cosine").alias("cosine"))

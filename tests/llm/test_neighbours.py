@@ -68,3 +68,14 @@ def test_empty(spark):
     assert N.similar_vectors(df, "key", "v").count() == 0 and N.nearest_of_queries(df, df, "key", "v").count() == 0
     one = spark.createDataFrame([("a", [1.0, 0.0])], "key string, v array<float>")
     assert N.similar_vectors(one, "key", "v").count() == 0
+
+
+def test_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((1600, 32))
+    x[:1200] = x[0] + 0.1 * rng.standard_normal((1200, 32))  # far more than a window holds, cosines about 0.99
+    x[1200:1220] = x[0] + 0.25 * rng.standard_normal((20, 32))  # its fringe, about 0.95
+    rows = [(f"k{i:05}", [float(v) for v in row]) for i, row in enumerate(x.astype(np.float32))]
+    df = spark.createDataFrame(rows, "key string, v array<float>")
+    got = {(r.key_a, r.key_b) for r in N.similar_vectors(df, "key", "v", k=5, least=0.95).collect()}
+    assert got == exact(rows, 5, 0.95)
