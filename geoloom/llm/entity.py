@@ -2,10 +2,8 @@
 
 Every record is a bag of weighted attribute terms: words and letter triples of its names, and the grid cell of its
 place. Pairs are scored by BM25 over these terms. The weight of place is as large as that of the whole name, and a
-match needs more than half of the best possible score and at least `LEAST` of the name's weight; a pair without a
-common cell can therefore not qualify, nor can one without any of the heaviest name terms that hold the rest of that
-weight. The inverted index is read by cell alone where a cell's lists are short and by cell and heavy term where they
-are long, so no pair that could qualify is lost and no long list is crossed with another. A pair is a match if each
+match with a place needs a common cell. All pairs of a cell are looked at, since short names with a slip may share no
+term; where a cell's lists are long, their pairs are dealt to blocks of about `HOT_PAIRS`. A pair is a match if each
 is the other's best and a logistic function of name, distance and the gap to the next best gives it a confidence of a
 half or more. Stops without usable coordinates are matched by name among the places of their scope's area.
 """
@@ -283,19 +281,22 @@ def match_entities(places: DataFrame, stops: DataFrame, *, localities: list[str]
     band = lambda lat: F.greatest(F.lit(0.05), F.cos(F.radians((F.floor(lat / CELL_DEG) + 0.5) * CELL_DEG)))
     keys_a = F.array(*[(F.floor(F.col("lat") / CELL_DEG) + i) * (4 * top) + F.floor(F.col("lon") * band(F.col("lat") + i * CELL_DEG) / CELL_DEG) + j for i, j in around])
     key_b = lambda lat, lon: F.floor(lat / CELL_DEG) * (4 * top) + F.floor(lon * band(lat) / CELL_DEG)
-    pa = a.where(spot).select(F.col("rid").alias("a"), F.col("forms").alias("forms_a"), F.col("rare").alias("terms_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(keys_a).alias("cell"))
+    pa = a.where(spot).select(F.col("rid").alias("a"), F.col("forms").alias("forms_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a"), F.explode(keys_a).alias("cell"))
     sb = b.where(spot).select(
-        F.col("rid").alias("b"), "scope", F.col("forms").alias("forms_b"), F.col("rare").alias("rare_b"),
+        F.col("rid").alias("b"), "scope", F.col("forms").alias("forms_b"),
         F.explode(F.array(F.struct(F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b")), F.struct(F.col("lon").alias("lat_b"), F.col("lat").alias("lon_b")))).alias("at"),
-    ).select("b", "scope", "forms_b", "rare_b", "at.lat_b", "at.lon_b").where("abs(lat_b) <= 90").withColumn("cell", key_b(F.col("lat_b"), F.col("lon_b")))
-    hot = pa.groupBy("cell").agg(F.count("*").alias("n")).join(sb.groupBy("cell").agg(F.count("*").alias("m")), "cell").where(F.col("n") * F.col("m") > HOT_PAIRS).select("cell", F.lit(True).alias("hot"))
-    # In a hot cell the lists are those of (cell, rare term); pairs that share several terms are counted once below.
-    part = lambda terms: F.explode(F.when(F.col("hot"), F.col(terms)).otherwise(F.array(F.lit(-1)))).alias("term")
+    ).select("b", "scope", "forms_b", "at.lat_b", "at.lon_b").where("abs(lat_b) <= 90").withColumn("cell", key_b(F.col("lat_b"), F.col("lon_b")))
+    # The pairs of a hot cell are dealt to side x side blocks by hash; each pair meets in one block.
+    side = F.ceil(F.sqrt(F.col("n") * F.col("m") / F.lit(float(HOT_PAIRS)))).cast("int").alias("side")
+    hot = pa.groupBy("cell").agg(F.count("*").alias("n")).join(sb.groupBy("cell").agg(F.count("*").alias("m")), "cell").where(F.col("n") * F.col("m") > HOT_PAIRS).select("cell", side)
     hot = materialise(hot)
-    pa = pa.join(hot, "cell", "left").select("a", "forms_a", "lat_a", "lon_a", "cell", part("terms_a"))
-    sb = sb.join(hot, "cell", "left").select("b", "scope", "forms_b", "lat_b", "lon_b", "cell", part("rare_b"))
+    sides = F.coalesce("side", F.lit(1))
+    dealt = lambda key: F.pmod(F.xxhash64(key), sides)
+    each = F.sequence(F.lit(0), sides - 1)
+    pa = pa.join(hot, "cell", "left").select("a", "forms_a", "lat_a", "lon_a", "cell", F.explode(F.transform(each, lambda x: dealt("a") * sides + x)).alias("block"))
+    sb = sb.join(hot, "cell", "left").select("b", "scope", "forms_b", "lat_b", "lon_b", "cell", F.explode(F.transform(each, lambda x: x * sides + dealt("b"))).alias("block"))
     dist = haversine_m("lat_a", "lon_a", "lat_b", "lon_b")
-    pairs = pa.join(sb, ["cell", "term"]).withColumn("dist", dist).where(F.col("dist") <= max_m)
+    pairs = pa.join(sb, ["cell", "block"]).withColumn("dist", dist).where(F.col("dist") <= max_m)
     scored = materialise(_scored(pairs.select("a", "b", "scope", "dist", "forms_a", "forms_b"), index).where("name_sim > 0 or score > 0.5").distinct())
 
     # Best and next best of each stop, best stop of each place within a scope.

@@ -57,3 +57,10 @@ def test_logistic():
     y = (x[:, 0] - x[:, 1] > 0).astype(float)
     w = E.fit_logistic(x, y)
     assert (((x @ w[:2] + w[2]) > 0) == (y > 0)).mean() > 0.97
+
+
+def test_hot_cell_keeps_slips_in_short_names(spark, monkeypatch):
+    monkeypatch.setattr(E, "HOT_PAIRS", 2)
+    places = [("p1", "Gufyl Station", 50.0, 8.0), ("p2", "Brogom Station", 50.001, 8.0), ("p3", "Tarn Road", 50.0, 8.001), ("p4", "Morel Hall", 50.001, 8.001)]
+    stops = [("s1", "f", "Guyfl Station", 50.0, 8.0), ("s2", "f", "Broom Station", 50.001, 8.0), ("s3", "f", "Tarn Road", 50.0, 8.001), ("s4", "f", "Morel Hall", 50.001, 8.001)]
+    assert run(spark, places, stops) == [("p1", "s1"), ("p2", "s2"), ("p3", "s3"), ("p4", "s4")]
