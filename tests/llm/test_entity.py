@@ -42,9 +42,12 @@ def test_hot_cell_loses_nothing(spark, monkeypatch):
     names = list(dict.fromkeys(f"{word().title()} {rnd.choice(['Road', 'Street', 'Terminal'])}" for _ in range(150)))
     places = [(f"p{i}", n, 50 + rnd.uniform(0, 0.002), 8 + rnd.uniform(0, 0.002)) for i, n in enumerate(names)] + [("copy", *("Same Stop Hall", 50.0, 8.0)), ("copy2", *("Same Stop Hall", 50.0, 8.0))]
     stops = [(f"s{i}", "f", n.upper(), 50 + rnd.uniform(0, 0.002), 8 + rnd.uniform(0, 0.002)) for i, n in enumerate(names)]
-    cold = run(spark, places, stops)
-    monkeypatch.setattr(E, "HOT_PAIRS", 10)
-    assert run(spark, places, stops) == cold and len(cold) >= 0.97 * len(names)
+    whole = run(spark, places, stops)
+    for rows in (7, 40):
+        monkeypatch.setattr(E, "PART_ROWS", rows)
+        monkeypatch.setattr(E, "BLOCK_ROWS", 2 * rows)
+        monkeypatch.setattr(E, "SLICE", 50)
+        assert run(spark, places, stops) == whole and len(whole) >= 0.97 * len(names)
 
 
 def test_empty(spark):
@@ -60,7 +63,57 @@ def test_logistic():
 
 
 def test_hot_cell_keeps_slips_in_short_names(spark, monkeypatch):
-    monkeypatch.setattr(E, "HOT_PAIRS", 2)
+    monkeypatch.setattr(E, "PART_ROWS", 2)
     places = [("p1", "Gufyl Station", 50.0, 8.0), ("p2", "Brogom Station", 50.001, 8.0), ("p3", "Tarn Road", 50.0, 8.001), ("p4", "Morel Hall", 50.001, 8.001)]
     stops = [("s1", "f", "Guyfl Station", 50.0, 8.0), ("s2", "f", "Broom Station", 50.001, 8.0), ("s3", "f", "Tarn Road", 50.0, 8.001), ("s4", "f", "Morel Hall", 50.001, 8.001)]
     assert run(spark, places, stops) == [("p1", "s1"), ("p2", "s2"), ("p3", "s3"), ("p4", "s4")]
+
+
+def test_rare_short_names_do_not_depend_on_crowding(spark, monkeypatch):
+    places = [("p0", "Oak", 50.0, 8.0)] + [(f"p{i}", f"Tarn Road {chr(97 + i)}el", 50 + i / 1e5, 8.0) for i in range(1, 12)]
+    stops = [("s0", "f", "Oka", 50.0001, 8.0)] + [(f"s{i}", "f", f"Tarn Road {chr(97 + i)}el", 50 + i / 1e5, 8.0) for i in range(1, 12)]
+    whole = run(spark, places, stops)
+    assert ("p0", "s0") in whole
+    monkeypatch.setattr(E, "PART_ROWS", 1)
+    assert run(spark, places, stops) == whole
+
+
+def test_name_pairs_are_those_of_brute_force():
+    rnd = random.Random(3)
+    word = lambda n: "".join(rnd.choice("abcde") for _ in range(n))
+
+    def slipped(text):
+        t = list(text)
+        for _ in range(rnd.randint(0, 4)):
+            k = rnd.randrange(len(t))
+            kind = rnd.randrange(4)
+            if kind == 0 and len(t) > 1:
+                del t[k]
+            elif kind == 1:
+                t.insert(k, rnd.choice("abcde"))
+            elif kind == 2:
+                t[k] = rnd.choice("abcde")
+            elif k + 1 < len(t):
+                t[k], t[k + 1] = t[k + 1], t[k]
+        return "".join(t).strip() or "a"
+
+    a = [" ".join(word(rnd.randint(1, 9)) for _ in range(rnd.randint(1, 3))) for _ in range(150)]
+    b = [" ".join(slipped(rnd.choice(a)).split()) for _ in range(150)] + [word(1), word(2), word(2), "aaaaaaaaaaaaaaaaaaaa"]
+    ia, ib = E.name_pairs(np.zeros(len(a), np.int64), np.arange(len(a)), [[x] for x in a], np.zeros(len(b), np.int64), np.arange(len(b)), [[x] for x in b])
+    found = set(zip(ia.tolist(), ib.tolist()))
+    grid = [(i, j) for i in range(len(a)) for j in range(len(b))]
+    sim = E.name_similarity([[a[i]] for i, _ in grid], [[b[j]] for _, j in grid])
+    assert {p for p, s in zip(grid, sim) if s > 0} <= found and len(found) < 0.5 * len(grid)
+
+
+def test_variants_of_long_crossings_are_all_kept():
+    ways = E.variants("Ab, Tarn Street & Ab, Morel Road & Ab, Solvig Lane & Ab, Karpen Court")
+    assert ("tarn", "street", "morel", "road", "solvig", "lane", "karpen", "court") in ways and len(ways) == 3
+
+
+def test_many_stops_of_one_name_in_one_cell(spark, monkeypatch):
+    monkeypatch.setattr(E, "SLICE", 500)
+    places = [(f"p{i:03}", "Central Hall", 50 + (i % 20) / 1e4, 8 + (i // 20) / 1e4) for i in range(200)]
+    stops = [(f"s{i:03}", "f", "Central Hall", 50 + (i % 20) / 1e4 + 1e-6, 8 + (i // 20) / 1e4) for i in range(200)]
+    out = run(spark, places, stops)
+    assert all(p[1:] == s[1:] for p, s in out) and len({p for p, _ in out}) == len(out)
