@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+SMALL_BYTES = 512 << 10
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -42,12 +44,19 @@ def scratch(spark: SparkSession, kind: str) -> str:
 def materialise(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cuts the lineage: writes `df` as a table in the shared folder and reads that back.
 
-    Unlike a cached or locally checkpointed frame, the table survives the loss of any executor.
+    Unlike a cached or locally checkpointed frame, the table survives the loss of any executor. Encoded files are many
+    times smaller than their rows in memory, so a table of more than `SMALL_BYTES` is never broadcast on their word.
     """
     spark = df.sparkSession
     path = scratch(spark, "geoloom")
     (df.coalesce(partitions) if partitions else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    return out if _bytes(spark, path) <= SMALL_BYTES else out.hint("merge")
+
+
+def _bytes(spark: SparkSession, path: str) -> int:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
 
 
 def spread(df: DataFrame) -> DataFrame:
