@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -40,7 +40,7 @@ DF_BITS = 16
 AREA_DEG = 0.1  # a scope's area: the squares in which it has stops, and their neighbours
 SURE_NAME = 0.9  # name similarity that counts without a place
 K1, B = 1.2, 0.75
-LEAST = 0.35  # share of a name's weight that a pair must have in common where only names are compared
+GRAM = 4  # letters of the runs by which names without a place are looked up
 SAMPLE_ROWS = 20_000  # bound of the sample that the logistic function is fitted on
 LEAST_SAMPLE = 20  # with fewer of either class the fixed curve below is used
 PRIOR = (8.0, 2.0, 2.0, -6.0)  # weights of name similarity, score and gap, and the intercept
@@ -129,17 +129,6 @@ class Index:
         got = sum(w for t, w in query.items() if t in doc)
         return min(1.0, got / best * (1 + own) / (1 + size)) if size > own else got / best
 
-    def rare(self, query: dict[str, float]) -> list[str]:
-        """The heaviest terms: any document with `LEAST` of the query's weight must share one of them."""
-        out, left = [], sum(query.values())
-        least = left * LEAST
-        for t, w in sorted(query.items(), key=lambda x: (-x[1], x[0])):
-            if left < least:
-                break
-            out.append(t)
-            left -= w
-        return out
-
 
 def _featured(df: DataFrame, localities: frozenset[str]) -> DataFrame:
     """`df` (rid, name, ...) with `forms` (the variants, words by blanks, variants by |) and the buckets of its terms;
@@ -150,7 +139,8 @@ def _featured(df: DataFrame, localities: frozenset[str]) -> DataFrame:
             forms = [variants(n, localities) for n in batch["name"]]
             batch["forms"] = ["|".join(" ".join(f) for f in fs) for fs in forms]
             batch["buckets"] = [sorted({bucket_of(t) for t in name_terms(fs)}) for fs in forms]
-            yield batch[batch["forms"] != ""]
+            if (batch["forms"] != "").any():
+                yield batch[batch["forms"] != ""]
 
     if "scope" in df.columns:
         df = df.withColumn("rid", _text_key(F.col("rid")))
@@ -435,7 +425,8 @@ def _names_alike(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch["name_sim"] = name_similarity([f.split("|") for f in batch["forms_a"]], [f.split("|") for f in batch["forms_b"]])
-            yield batch[batch["name_sim"] >= SURE_NAME]
+            if (batch["name_sim"] >= SURE_NAME).any():
+                yield batch[batch["name_sim"] >= SURE_NAME]
 
     return pairs.mapInPandas(run, "forms_a string, forms_b string, name_sim double")
 
@@ -459,40 +450,57 @@ def calibrated(sample: pd.DataFrame) -> np.ndarray:
     return fit_logistic(sample[["name_sim", "score", "gap"]].to_numpy(float), y)
 
 
-def _text_key(key):
+def _text_key(key: Column) -> Column:
     """A key of any type as a string."""
     return F.to_json(F.struct(key.alias("key")))
 
 
-def _heavy_terms(names: DataFrame, index: Index, essential: bool) -> DataFrame:
-    """(forms, term, weight, total) of the terms of distinct names. With `essential` only the heaviest: a name with
-    `LEAST` of the weight must share one of them."""
+def _grams(names: DataFrame, name: str) -> DataFrame:
+    """(name, form, letters, terms, term) of distinct names (`forms`): the hashed runs of `GRAM` letters of each form,
+    once with its words in order and once sorted, and a term for its length."""
+    pad = " " * (GRAM - 1)
+    glued = F.array(F.struct(F.lit(0).alias("kind"), F.replace("text", F.lit(" "), F.lit("")).alias("text")), F.struct(F.lit(1).alias("kind"), F.array_join(F.array_sort(F.split("text", " ")), "").alias("text")))
+    forms = names.select(F.xxhash64("forms").alias(name), F.explode(F.split("forms", r"\|")).alias("text")).select(name, F.explode(glued).alias("f"))
+    forms = forms.select(name, F.xxhash64("f").alias("form"), "f.kind", F.char_length("f.text").alias("letters"), F.concat(F.lit(pad), "f.text", F.lit(pad)).alias("text"))
+    runs = F.transform(F.sequence(F.lit(1), F.col("letters") + (GRAM - 1)), lambda i: F.xxhash64("kind", F.substring("text", i, F.lit(GRAM))))
+    return forms.select(name, "form", "kind", "letters", F.array_distinct(runs).alias("runs"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for text in batch["forms"]:
-                weights = index.weights(name_terms([tuple(f.split()) for f in text.split("|")]))
-                total = sum(weights.values())
-                for t in index.rare(weights) if essential else weights:
-                    for column, v in zip(out, (text, zlib.crc32(t.encode()) << 16 | bucket_of(t[::-1]), weights[t], total)):
-                        column.append(v)
-            yield pd.DataFrame({"forms": out[0], "term": pd.Series(out[1], dtype="int64"), "weight": pd.Series(out[2], dtype="float64"), "total": pd.Series(out[3], dtype="float64")})
 
-    return names.mapInPandas(run, "forms string, term bigint, weight double, total double")
+def _length_term(kind: Column, letters: Column) -> Column:
+    return F.xxhash64(F.lit("length"), kind, letters)
+
 
+def _names_near(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(forms_a, forms_b, name_sim) of distinct names with at least `SURE_NAME` in common.
 
-def _by_name(a: DataFrame, b: DataFrame, spot, index: Index) -> DataFrame:
-    """(a, b, scope, name_sim) for stops without coordinates; see `match_entities`."""
+    So much in common leaves at most k slips, and a slip changes at most `GRAM` + 1 runs of letters: one of the
+    (GRAM + 1) k + 1 rarest runs of a name is in its counterpart. Names of fewer different runs are compared with all
+    of fitting length.
+    """
+    lists, asked = _grams(a, "na"), _grams(b, "nb")
+    k = F.floor(F.col("letters") * (1 - SURE_NAME) / SURE_NAME + 1e-9).cast("int")
+    asked = materialise(asked.withColumn("k", k))
+    enough = F.size("runs") > (GRAM + 1) * F.col("k")
+    terms = asked.where(enough).select("nb", "form", "k", F.explode("runs").alias("term"))
+    lengths = F.transform(F.sequence(F.greatest(F.lit(1), F.col("letters") - F.col("k")), F.col("letters") + F.col("k")), lambda n: _length_term(F.col("kind"), n))
+    few = asked.where(~enough).select("nb", F.explode(lengths).alias("term"))
+    wanted = terms.select("term").unionByName(few.select("term")).distinct()
+    lists = lists.select("na", F.explode(F.concat("runs", F.array(_length_term(F.col("kind"), F.col("letters"))))).alias("term"))
+    lists = materialise(lists.join(wanted, "term", "left_semi"))
+    sizes = lists.groupBy("term").agg(F.count("*").alias("n"))
+    place = F.row_number().over(W.partitionBy("nb", "form").orderBy(F.coalesce("n", F.lit(0)), "term"))
+    rare = terms.join(sizes, "term", "left").withColumn("place", place).where(F.col("place") <= (GRAM + 1) * F.col("k") + 1)
+    pairs = rare.select("nb", "term").unionByName(few).join(lists, "term").select("na", "nb").distinct()
+    named = lambda x, key, out: x.select(F.xxhash64("forms").alias(key), F.col("forms").alias(out))
+    return _names_alike(pairs.join(named(b, "nb", "forms_b"), "nb").join(named(a, "na", "forms_a"), "na").select("forms_a", "forms_b"))
+
+
+def _by_name(a: DataFrame, b: DataFrame, spot: Column) -> DataFrame:
+    """(a, b, scope, name_sim, n) for stops without coordinates; see `match_entities`. `n` counts the places of that
+    name in the square."""
     lost = b.where(~spot)
-    alone = lost.groupBy("scope", "forms").agg(F.count("*").alias("n"), F.min("rid").alias("b")).where("n = 1").drop("n")
-    alone = materialise(alone)
-    # Distinct names against distinct names: shared weights are added up per pair, and the edit check sees only pairs
-    # that have the least share in common.
-    asked = alone.select("forms").distinct()
-    lists = _heavy_terms(a.where(spot).select("forms").distinct(), index, False).select(F.col("forms").alias("forms_a"), "term", F.col("total").alias("total_a"))
-    heads = _heavy_terms(asked, index, True).select(F.col("forms").alias("forms_b"), "term").join(lists, "term").select("forms_a", "forms_b").distinct()
-    alike = materialise(_names_alike(heads))
+    alone = materialise(lost.groupBy("scope", "forms").agg(F.count("*").alias("n"), F.min("rid").alias("b")).where("n = 1").drop("n"))
+    alike = materialise(_names_near(a.where(spot).select("forms").distinct(), alone.select("forms").distinct()))
     wide = lambda c: F.floor(F.col(c) / AREA_DEG).cast("long")
     around = F.explode(F.array(*[F.struct((wide("lat") + i).alias("cy"), (wide("lon") + j).alias("cx")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("at")
     there = a.where(spot).groupBy(F.col("forms").alias("forms_a"), wide("lat").alias("cy"), wide("lon").alias("cx")).agg(F.min("rid").alias("a"), F.count("*").alias("n"))
@@ -540,17 +548,17 @@ def match_entities(places: DataFrame, stops: DataFrame, *, localities: list[str]
     sb = b.where(spot).select(F.col("rid").alias("b"), "scope", "forms", F.explode(swap).alias("at")).select("b", "scope", "forms", "at.lat", "at.lon").where("abs(lat) <= 90")
     sb = sb.select("*", F.struct(row(F.col("lat")).alias("y"), column(F.col("lon"), row(F.col("lat"))).alias("x")).alias("cell"))
     # Cells of both sides are counted before anything moves; the rows of a crowded cell are dealt to parts by hash, and
-    # each part of one side meets each of the other in one task.
-    counts = materialise(pa.groupBy("cell").agg(F.count("*").alias("n")).join(sb.groupBy("cell").agg(F.count("*").alias("m")), "cell"))
-    parts = lambda c: F.ceil(F.col(c) / PART_ROWS).cast("int")
-    total = counts.agg(F.sum(F.col("n") * parts("m") + F.col("m") * parts("n"))).first()[0] or 0
+    # each part of one side meets each of the other in one task. At most one cell in `PART_ROWS` rows is crowded.
+    in_a, in_b = (materialise(x.groupBy("cell").agg(F.count("*").alias("n"))) for x in (pa, sb))
+    total = sum(x.agg(F.sum("n")).first()[0] or 0 for x in (in_a, in_b))
     blocks = max(1, math.ceil(total / BLOCK_ROWS))
-    crowded = counts.select("cell", parts("n").alias("cn"), parts("m").alias("cm"))
-    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    parts = lambda x, name: x.where(F.col("n") > PART_ROWS).select("cell", F.ceil(F.col("n") / PART_ROWS).cast("int").alias(name))
+    crowded = materialise(parts(in_a, "cn").join(parts(in_b, "cm"), "cell", "full"))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(F.col(n), F.lit(1)) - 1))
     block = F.pmod(F.xxhash64("cell", "i", "j"), F.lit(blocks)).alias("block")
-    pa = pa.join(crowded, "cell").select("*", dealt("a", "cn").alias("i"), each("cm").alias("j")).select(block, F.xxhash64("cell", "i", "j").alias("part"), "a", "forms", "lat", "lon")
-    sb = sb.join(crowded, "cell").select("*", dealt("b", "cm").alias("j"), each("cn").alias("i")).select(block, F.xxhash64("cell", "i", "j").alias("part"), "b", "scope", "forms", "lat", "lon")
+    pa = pa.join(crowded, "cell", "left").select("*", dealt("a", "cn").alias("i"), each("cm").alias("j")).select(block, F.xxhash64("cell", "i", "j").alias("part"), "a", "forms", "lat", "lon")
+    sb = sb.join(crowded, "cell", "left").select("*", dealt("b", "cm").alias("j"), each("cn").alias("i")).select(block, F.xxhash64("cell", "i", "j").alias("part"), "b", "scope", "forms", "lat", "lon")
     key = places.schema["key"].dataType.simpleString()
     found = pa.groupBy("block").cogroup(sb.groupBy("block")).applyInPandas(lambda p, q: _retrieve(p, q, index, max_m), f"a {key}, b string, scope string, {_FOUND}")
     found = materialise(found)
@@ -573,7 +581,7 @@ def match_entities(places: DataFrame, stops: DataFrame, *, localities: list[str]
     near_match = materialise(near_match.select("a", "b", "scope", "confidence", "score", "dist"))
 
     # Without usable coordinates: the place must clearly be the best of the stop and not be taken in its scope.
-    named_pairs = materialise(_by_name(a, b, spot, index))
+    named_pairs = materialise(_by_name(a, b, spot))
     by_stop, by_place = W.partitionBy("b").orderBy(F.desc("name_sim"), "a"), W.partitionBy("a", "scope").orderBy(F.desc("name_sim"), "b")
     best = named_pairs.withColumns({"k": F.row_number().over(by_stop), "next": F.lead("name_sim").over(by_stop), "j": F.row_number().over(by_place)})
     best = best.where("k = 1 and j = 1 and n = 1").where(F.col("name_sim") - F.coalesce("next", F.lit(0.0)) >= 0.1)
