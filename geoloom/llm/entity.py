@@ -366,7 +366,7 @@ _FOUND = "dist double, name_sim double, score double"
 
 def _retrieve(p: pd.DataFrame, q: pd.DataFrame, index: Index, max_m: float) -> pd.DataFrame:
     """The best `KEEP` places of each stop and the best stop of each place and scope within the task's parts of cells."""
-    empty = pd.DataFrame({"a": [], "b": [], "scope": [], "dist": [], "name_sim": [], "score": []})
+    empty = pd.DataFrame({c: pd.Series([], dtype=t) for c, t in (("a", object), ("b", object), ("scope", object), ("dist", float), ("name_sim", float), ("score", float))})
     if not len(p) or not len(q):
         return empty
     parts = np.unique(np.concatenate((p["part"], q["part"])))
@@ -415,6 +415,8 @@ def _retrieve(p: pd.DataFrame, q: pd.DataFrame, index: Index, max_m: float) -> p
         i, j = kept[0].astype(np.int64), kept[1].astype(np.int64)
         rank = [-kept[4], -kept[3], kept[2]]
         kept = kept[:, _first([*rank, ra[i]], [rb[j]], KEEP) | _first([*rank, rb[j]], [ra[i], scope[j]], 1)]
+    if not kept.shape[1]:
+        return empty
     i, j = kept[0].astype(np.int64), kept[1].astype(np.int64)
     return pd.DataFrame({"a": p["a"].to_numpy()[i], "b": q["b"].to_numpy()[j], "scope": q["scope"].to_numpy()[j], "dist": kept[2], "name_sim": kept[3], "score": kept[4]})
 
@@ -456,14 +458,14 @@ def _text_key(key: Column) -> Column:
 
 
 def _grams(names: DataFrame, name: str) -> DataFrame:
-    """(name, form, letters, terms, term) of distinct names (`forms`): the hashed runs of `GRAM` letters of each form,
-    once with its words in order and once sorted, and a term for its length."""
+    """(name, form, kind, letters, whole, runs) of distinct names (`forms`): hashes of the whole and of the runs of `GRAM`
+    letters of each form, once with its words in order (kind 0) and once sorted (kind 1)."""
     pad = " " * (GRAM - 1)
     glued = F.array(F.struct(F.lit(0).alias("kind"), F.replace("text", F.lit(" "), F.lit("")).alias("text")), F.struct(F.lit(1).alias("kind"), F.array_join(F.array_sort(F.split("text", " ")), "").alias("text")))
     forms = names.select(F.xxhash64("forms").alias(name), F.explode(F.split("forms", r"\|")).alias("text")).select(name, F.explode(glued).alias("f"))
     forms = forms.select(name, F.xxhash64("f").alias("form"), "f.kind", F.char_length("f.text").alias("letters"), F.concat(F.lit(pad), "f.text", F.lit(pad)).alias("text"))
     runs = F.transform(F.sequence(F.lit(1), F.col("letters") + (GRAM - 1)), lambda i: F.xxhash64("kind", F.substring("text", i, F.lit(GRAM))))
-    return forms.select(name, "form", "kind", "letters", F.array_distinct(runs).alias("runs"))
+    return forms.select(name, "form", "kind", "letters", F.xxhash64("kind", "text").alias("whole"), F.array_distinct(runs).alias("runs"))
 
 
 def _length_term(kind: Column, letters: Column) -> Column:
@@ -474,23 +476,23 @@ def _names_near(a: DataFrame, b: DataFrame) -> DataFrame:
     """(forms_a, forms_b, name_sim) of distinct names with at least `SURE_NAME` in common.
 
     So much in common leaves at most k slips, and a slip changes at most `GRAM` + 1 runs of letters: one of the
-    (GRAM + 1) k + 1 rarest runs of a name is in its counterpart. Names of fewer different runs are compared with all
-    of fitting length.
+    (GRAM + 1) k + 1 rarest runs of a name is in its counterpart, whose length differs by at most k. With k = 0 the
+    whole is looked up. Names of fewer different runs are compared with all of fitting length.
     """
     lists, asked = _grams(a, "na"), _grams(b, "nb")
     k = F.floor(F.col("letters") * (1 - SURE_NAME) / SURE_NAME + 1e-9).cast("int")
     asked = materialise(asked.withColumn("k", k))
     enough = F.size("runs") > (GRAM + 1) * F.col("k")
-    terms = asked.where(enough).select("nb", "form", "k", F.explode("runs").alias("term"))
+    terms = asked.where(enough).select("nb", "form", "letters", "k", F.explode(F.when(F.col("k") > 0, F.col("runs")).otherwise(F.array("whole"))).alias("term"))
     lengths = F.transform(F.sequence(F.greatest(F.lit(1), F.col("letters") - F.col("k")), F.col("letters") + F.col("k")), lambda n: _length_term(F.col("kind"), n))
-    few = asked.where(~enough).select("nb", F.explode(lengths).alias("term"))
+    few = asked.where(~enough).select("nb", "letters", "k", F.explode(lengths).alias("term"))
     wanted = terms.select("term").unionByName(few.select("term")).distinct()
-    lists = lists.select("na", F.explode(F.concat("runs", F.array(_length_term(F.col("kind"), F.col("letters"))))).alias("term"))
+    lists = lists.select("na", F.col("letters").alias("size"), F.explode(F.concat("runs", F.array("whole", _length_term(F.col("kind"), F.col("letters"))))).alias("term"))
     lists = materialise(lists.join(wanted, "term", "left_semi"))
     sizes = lists.groupBy("term").agg(F.count("*").alias("n"))
     place = F.row_number().over(W.partitionBy("nb", "form").orderBy(F.coalesce("n", F.lit(0)), "term"))
     rare = terms.join(sizes, "term", "left").withColumn("place", place).where(F.col("place") <= (GRAM + 1) * F.col("k") + 1)
-    pairs = rare.select("nb", "term").unionByName(few).join(lists, "term").select("na", "nb").distinct()
+    pairs = rare.select("nb", "letters", "k", "term").unionByName(few).join(lists, "term").where(F.abs(F.col("size") - F.col("letters")) <= F.col("k")).select("na", "nb").distinct()
     named = lambda x, key, out: x.select(F.xxhash64("forms").alias(key), F.col("forms").alias(out))
     return _names_alike(pairs.join(named(b, "nb", "forms_b"), "nb").join(named(a, "na", "forms_a"), "na").select("forms_a", "forms_b"))
 
