@@ -1,15 +1,17 @@
 """Parent-child links to full hierarchies: root, depth, path and descendants of every node, with cycles reported.
 
-A deterministic hash chooses one node in `SPLITTER_RATE` as a splitter; roots are splitters too. Every node walks up
-to its next splitter, the splitters' pointers form a graph that is smaller by that rate and is solved by pointer
-doubling, and each node's answer is its walk joined with its splitter's. Chains and cycles on which no splitter lies
-within `WALK_LIMIT` steps are handled apart, by doubling among themselves. All state is in tables; nothing is
-collected, and the number of rounds grows with the logarithm of the longest chain.
+A deterministic hash chooses one node in `SPLITTER_RATE` as a splitter. Every node walks up to its next splitter or
+root, in rounds that double the way walked; a node at which a walk without a splitter ends is made one too, so long
+chains and cycles without splitters join the reduced graph. The splitters' pointers, a graph smaller by that rate, are
+solved by pointer doubling, and each node's answer is its walk joined with its splitter's. Paths are not carried through
+the doubling: the splitters above each splitter are listed once at the end as rows, and the walks between them put
+together. All state is in tables; nothing is collected, and the number of rounds grows with the logarithm of the
+longest chain, whatever the cycles.
 """
 
 from __future__ import annotations
 
-import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,8 +19,7 @@ from pyspark.sql import functions as F
 from geoloom.util import materialise
 
 SPLITTER_RATE = 4
-WALK_LIMIT = 12
-STEPS_PER_TABLE = 4
+WALK_ROUNDS = 4  # a walk ends after 2 ** WALK_ROUNDS links
 
 
 def clean_key(col: Column | str) -> Column:
@@ -37,127 +38,98 @@ def resolve_hierarchy(links: DataFrame, *, paths: bool = False) -> DataFrame:
     repeated for one node count once, the smallest non-null parent winning; null node ids are left out, a null tab
     or scope is a scope of its own. Columns besides the four are ignored. An empty table gives an empty result.
     """
-    key = ["tab", "scope"]
-    nodes = links.where(F.col("node_id").isNotNull()).groupBy(*key, "node_id").agg(F.min("parent_id").alias("parent_id"))
-    known = nodes.select(F.col("tab").alias("_t"), F.col("scope").alias("_s"), F.col("node_id").alias("_up"))
-    same = F.col("tab").eqNullSafe(F.col("_t")) & F.col("scope").eqNullSafe(F.col("_s"))
-    graph = materialise(
-        nodes.join(known, same & (F.col("parent_id") == F.col("_up")), "left").select(*key, "node_id", "parent_id", F.col("_up").alias("next"))
-    )
-    total = graph.count()
-    splitter = F.pmod(F.xxhash64("tab", "scope", "node_id"), F.lit(SPLITTER_RATE)) == 0
-    step = graph.select(
-        F.col("tab").alias("_t"), F.col("scope").alias("_s"), F.col("node_id").alias("_n"), F.col("next").alias("_next"),
-        (splitter | F.col("next").isNull()).alias("_stop"),
-    )
-    trail = [F.array("node_id").alias("trail")] if paths else []
-
-    # Walk: `cur` is the node reached, `stop` whether it is a splitter, `trail` the nodes before it.
-    walk = graph.where(F.col("next").isNotNull()).select(*key, "node_id", F.col("next").alias("cur"), F.lit(1).alias("dist"), *trail)
-    done: list[DataFrame] = []
-    walked = 0
-    left = walk
-    while walked < WALK_LIMIT:
-        for k in range(STEPS_PER_TABLE):
-            on = same & (F.col("cur") == F.col("_n"))
-            more = F.col("_stop") == F.lit(False)
-            left = left.join(step, on).select(
-                *key, "node_id", F.when(more, F.col("_next")).otherwise(F.col("cur")).alias("cur"),
-                F.when(more, F.col("dist") + 1).otherwise(F.col("dist")).alias("dist"),
-                *([F.when(more, F.concat("trail", F.array("cur"))).otherwise(F.col("trail")).alias("trail")] if paths else []),
-                F.col("_stop").alias("stop") if k == STEPS_PER_TABLE - 1 else F.lit(False).alias("stop"),
-            )
-        left = materialise(left)
-        walked += STEPS_PER_TABLE
-        done.append(left.where("stop").drop("stop"))
-        left = left.where("not stop").drop("stop")
-        if left.isEmpty():
+    nodes = links.where(F.col("node_id").isNotNull()).groupBy("tab", "scope", "node_id").agg(F.min("parent_id").alias("parent_id"))
+    known = _as_right(nodes.select("tab", "scope", "node_id"))
+    up = F.col("_node_id")
+    splitter = F.pmod(F.xxhash64("tab", "scope", up), F.lit(SPLITTER_RATE)) == 0
+    trail = [F.when(up.isNull(), F.expr("cast(array() as array<string>)")).otherwise(F.array("node_id")).alias("trail")] if paths else []
+
+    # Walks: `cur` is the node reached, `dist` the links to it, `trail` the nodes before it, `stop` whether it is a
+    # splitter or a root. A root has walked to itself.
+    walks = materialise(nodes.join(known, _same("parent_id"), "left").select(
+        "tab", "scope", "node_id", "parent_id", F.coalesce(up, F.col("node_id")).alias("cur"), F.when(up.isNull(), 0).otherwise(1).alias("dist"),
+        *trail, (up.isNull() | splitter).alias("stop"), up.isNull().alias("root"),
+    ))
+    roots = walks.where("root").select("tab", "scope", "node_id", F.col("node_id").alias("cur"), F.lit(0).alias("dist"))
+    stopped, going, over = [walks.where("stop")], walks.where("not stop"), False
+    for _ in range(WALK_ROUNDS):
+        if over := going.isEmpty():
             break
-    else:
-        # The last step reached a node that no step has tested; it may be a splitter or a root.
-        left = materialise(left.join(step, same & (F.col("cur") == F.col("_n"))).select(*left.columns, F.col("_stop").alias("stop")))
-        done.append(left.where("stop").drop("stop"))
-        left = left.where("not stop").drop("stop")
-        # No splitter within the limit: double the pointers of these nodes among themselves.
-        solved = done
-        done = [*solved, *_double(left, solved, total, paths)]
-    reached = _union(done)
-
-    # The reduced graph: each splitter and the splitter it reaches.
-    roots = graph.where(F.col("next").isNull()).select(*key, F.col("node_id").alias("_n"))
-    is_root = roots.select(F.col("tab").alias("_t"), F.col("scope").alias("_s"), "_n", F.lit(True).alias("_root"))
-    reduced = reached.where(splitter)
-    reduced = materialise(reduced.join(is_root, same & (F.col("cur") == F.col("_n")), "left").drop("_t", "_s", "_n"))
-    ended = [reduced.where("_root").drop("_root")]
-    open_ = reduced.where("_root is null").drop("_root")
-    for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
-        if open_.isEmpty():
+        on = _as_right(_union([*stopped, going]).drop("parent_id", "root"))
+        moved = materialise(going.join(on, _same("cur")).select(
+            "tab", "scope", "node_id", "parent_id", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"),
+            *([F.concat("trail", "_trail").alias("trail")] if paths else []), F.col("_stop").alias("stop"), F.col("root"),
+        ))
+        stopped, going = [*stopped, moved.where("stop")], moved.where("not stop")
+    walks = _union([*stopped, going])
+
+    # The reduced graph: splitters, and nodes at which a walk ended without one.
+    own = F.pmod(F.xxhash64("tab", "scope", "node_id"), F.lit(SPLITTER_RATE)) == 0
+    inner = walks.where(~F.col("root"))
+    reduced = inner.where(own)
+    if not over:
+        made = _as_right(going.select("tab", "scope", F.col("cur").alias("node_id")).distinct())
+        reduced = reduced.unionByName(inner.where(~own).join(made, _same("node_id"), "left_semi"))
+    reduced = materialise(reduced.drop("parent_id", "stop", "root"))
+    slim = ["tab", "scope", "node_id", "cur", "dist"]
+    rounds, ended, open_ = [], [], reduced.select(*slim)
+    while not open_.isEmpty():
+        rounds.append(open_)
+        by = _union([x.select(*slim, F.lit(True).alias("end")) for x in (roots, *ended)] + [open_.select(*slim, F.lit(False).alias("end"))])
+        moved = materialise(open_.join(_as_right(by), _same("cur")).select("tab", "scope", "node_id", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"), F.col("_end").alias("end")))
+        ended.append(moved.where("end").select(*slim))
+        open_ = moved.where("not end").select(*slim)
+        # Above an open node that does end stands one that ends in the next round: if none did, only cycles are left.
+        if ended[-1].isEmpty():
             break
-        names = ["_t", "_s", "_n", "_cur", "_dist"] + (["_trail"] if paths else [])
-        by = _renamed(_union(ended), names, True).unionByName(_renamed(open_, names, False))
-        moved = materialise(
-            open_.join(by, same & (F.col("cur") == F.col("_n"))).select(
-                *key, "node_id", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"),
-                *([F.concat("trail", "_trail").alias("trail")] if paths else []), F.col("_stop").alias("_root"),
-            )
-        )
-        ended.append(moved.where("_root").drop("_root"))
-        open_ = moved.where("not _root").drop("_root")
-    tops = _union(ended).select(
-        F.col("tab").alias("_t"), F.col("scope").alias("_s"), F.col("node_id").alias("_n"), F.col("cur").alias("_root"), F.col("dist").alias("_up"),
-        *([F.col("trail").alias("_trail")] if paths else []),
-    )
-    zero = roots.select(
-        F.col("tab").alias("_t"), F.col("scope").alias("_s"), "_n", F.col("_n").alias("_root"), F.lit(0).alias("_up"),
-        *([F.expr("cast(array() as array<string>)").alias("_trail")] if paths else []),
-    )
-    answers = reached.join(tops.unionByName(zero), same & (F.col("cur") == F.col("_n"))).select(
-        F.col("tab").alias("_t"), F.col("scope").alias("_s"), F.col("node_id").alias("_n"), F.col("_root").alias("_r"), (F.col("dist") + F.col("_up")).alias("_d"),
-        *([F.concat("trail", "_trail", F.array("_root")).alias("_p")] if paths else []),
-    )
-    is_top = F.col("next").isNull()
-    out = graph.join(answers, same & (F.col("node_id") == F.col("_n")), "left")
-    return out.select(
-        *key, "node_id", "parent_id",
-        F.when(is_top, F.col("node_id")).otherwise(F.coalesce("_r", F.lit("-"))).alias("root_id"),
-        F.when(is_top, F.lit(0)).otherwise(F.coalesce("_d", F.lit(-1))).cast("int").alias("depth"),
-        *([F.when(is_top, F.array("node_id")).otherwise(F.col("_p")).alias("path")] if paths else []),
+    tops = _union([x.select(*slim) for x in (roots, *ended)])
+    if paths:
+        tops = _with_paths(tops, reduced, rounds)
+    tail = ["_tail"] if paths else []
+    answers = walks.join(_as_right(tops), _same("cur"), "left").select("tab", "scope", "node_id", "parent_id", "dist", *(["trail"] if paths else []), "_cur", "_dist", *tail)
+    return answers.select(
+        "tab", "scope", "node_id", "parent_id", F.coalesce("_cur", F.lit("-")).alias("root_id"),
+        F.coalesce(F.col("dist") + F.col("_dist"), F.lit(-1)).cast("int").alias("depth"), *([F.concat("trail", "_tail").alias("path")] if paths else []),
     )
 
 
+def _with_paths(tops: DataFrame, reduced: DataFrame, rounds: list[DataFrame]) -> DataFrame:
+    """`tops` with `tail`, the nodes from a splitter or root up to its root.
+
+    Round k of the doubling left each splitter with the splitter 2 ** k above it; joined with the splitters above that
+    one, these rows list all splitters above each, once.
+    """
+    ends = _as_right(tops.select("tab", "scope", "node_id"))
+    above: list[DataFrame] = []
+    for k, jumps in enumerate(rounds):
+        jumps = jumps.join(ends, _same("node_id"), "left_semi")
+        if k == 0:
+            above.append(materialise(jumps))
+        far = jumps.join(_as_right(_union(above)), _same("cur")).select("tab", "scope", "node_id", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"))
+        above.append(materialise(far))
+    walks = reduced.select("tab", "scope", "node_id", "trail")
+    if not above:
+        return tops.withColumn("tail", F.array("cur"))
+    parts = _union(above).join(_as_right(walks), _same("cur")).groupBy("tab", "scope", "node_id").agg(F.array_sort(F.collect_list(F.struct("dist", F.col("_trail").alias("trail")))).alias("parts"))
+    # A splitter's own walk comes first; a root has none, and a splitter right below its root no parts.
+    first = tops.join(_as_right(walks), _same("node_id"), "left").select("tab", "scope", "node_id", "cur", "dist", F.coalesce("_trail", F.expr("cast(array() as array<string>)")).alias("walk"))
+    out = first.join(_as_right(parts), _same("node_id"), "left")
+    rest = F.coalesce(F.flatten(F.transform("_parts", lambda x: x["trail"])), F.expr("cast(array() as array<string>)"))
+    return out.select("tab", "scope", "node_id", "cur", "dist", F.concat("walk", rest, F.array("cur")).alias("tail"))
+
+
+def _as_right(frame: DataFrame) -> DataFrame:
+    """`frame` as the right side of a join, with its columns' names marked."""
+    return frame.select(*[F.col(c).alias(f"_{c}") for c in frame.columns])
+
+
+def _same(col: str) -> Column:
+    """The join of `col` on the right side's node, within one scope."""
+    return F.col("tab").eqNullSafe(F.col("_tab")) & F.col("scope").eqNullSafe(F.col("_scope")) & (F.col(col) == F.col("_node_id"))
+
+
 def _union(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for frame in frames[1:]:
-        out = out.unionByName(frame)
-    return out
-
-
-def _renamed(frame: DataFrame, names: list[str], stop: bool) -> DataFrame:
-    cols = ["tab", "scope", "node_id", "cur", "dist", "trail"]
-    return frame.select(*[F.col(a).alias(b) for a, b in zip(cols, names)], F.lit(stop).alias("_stop"))
-
-
-def _double(left: DataFrame, solved: list[DataFrame], total: int, paths: bool) -> list[DataFrame]:
-    """Nodes of `left` that do reach a splitter, found by pointer doubling; the rest run into a cycle without one."""
-    names = ["_t", "_s", "_n", "_cur", "_dist"] + (["_trail"] if paths else [])
-    ends = list(solved)
-    found: list[DataFrame] = []
-    for _ in range(math.ceil(math.log2(max(total, 2))) + 1):
-        by = _renamed(_union(ends), names, True).unionByName(_renamed(left, names, False))
-        on = F.col("tab").eqNullSafe(F.col("_t")) & F.col("scope").eqNullSafe(F.col("_s")) & (F.col("cur") == F.col("_n"))
-        moved = materialise(
-            left.join(by, on).select(
-                "tab", "scope", "node_id", F.col("_cur").alias("cur"), (F.col("dist") + F.col("_dist")).alias("dist"),
-                *([F.concat("trail", "_trail").alias("trail")] if paths else []), F.col("_stop").alias("stop"),
-            )
-        )
-        new = moved.where("stop").drop("stop")
-        left = moved.where("not stop").drop("stop")
-        found.append(new)
-        if new.isEmpty() or left.isEmpty():
-            break
-        ends.append(new)
-    return found
+    return reduce(DataFrame.unionByName, frames)
 
 
 def descendants(resolved: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import random
 
+from geoloom import util
+from geoloom.operators import hierarchy as H
 from geoloom.operators.hierarchy import clean_key, descendants, resolve_hierarchy
 
 
@@ -66,3 +68,22 @@ def test_walk_that_ends_at_a_root(spark):
     links = [("t", f"s{c}", f"{c}-{i}", f"{c}-{i - 1}" if i else None) for c in range(300) for i in range(16)]
     links += [("t", "ring", f"r{i}", f"r{(i + 1) % 20}") for i in range(20)]
     check(spark, links)
+
+
+def test_a_cycle_adds_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(H, "materialise", lambda df: (written.append(1), util.materialise(df))[1])
+    tree = [("t", "", f"n{i}", f"n{(i - 1) // 2}" if i else None) for i in range(300)]
+    ring = [("t", "ring", f"r{i}", f"r{(i + 1) % 40}") for i in range(40)]
+    check(spark, tree)
+    alone = len(written)
+    written.clear()
+    check(spark, tree + ring)
+    assert len(written) <= alone + H.WALK_ROUNDS + 2
+
+
+def test_tables_written_between_rounds_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(util, "SMALL_BYTES", -1)
+    df = spark.createDataFrame([("t", "", f"n{i}", f"n{i - 1}" if i else None) for i in range(60)], "tab string, scope string, node_id string, parent_id string")
+    out = resolve_hierarchy(df, paths=True)
+    assert out.count() == 60 and "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
