@@ -2,28 +2,34 @@
 
 Both sides are placed on tiles of a latitude-longitude grid, the region side on every tile its reach touches. Tiles
 that hold more than `TILE_ROWS` rows are cut into quarters as often as that needs, and what still is too dense (many
-rows at one spot) is cut by hash, so no task ever holds an unbounded group. A task takes a bucket of tiles, builds a
-bounding-box tree over each side and compares nodes level by level: pairs of nodes that are too far apart are
-discarded, pairs that are certainly near are accepted wholesale, and only undecided leaves are compared row by row.
+rows at one spot) is cut by hash, so no task ever holds an unbounded group. A task reads its tiles in order, builds a
+bounding-box tree over each side of a few of them and compares nodes level by level: pairs of nodes that are too far
+apart are discarded, pairs that are certainly near are accepted wholesale, and only undecided leaves are compared row by
+row. Pairs leave the task in slices, so its memory does not grow with them.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from geoloom.functions.geo import EARTH_M, NUMBER
 from geoloom.util import materialise
 
 TILE_DEG = 0.1
 TILE_ROWS = 8192
-BUCKET_ROWS = 32768
+TASK_ROWS = 65536
+GROUP_ROWS = 16384  # rows of whole tiles that share a tree
+SLICE = 1 << 19  # pairs in memory at a time
 LEAF = 16
+_POINT, _NEAR, _AREA = range(3)
 _PAIR = re.compile(rf"({NUMBER})[ \t]+({NUMBER})")
 
 
@@ -39,6 +45,9 @@ def rings_of(wkt: str) -> list[np.ndarray]:
 def inside(rings: list[np.ndarray], lon: np.ndarray, lat: np.ndarray) -> np.ndarray:
     """Even-odd test over all rings, so holes and parts need no further rule."""
     odd = np.zeros(len(lon), bool)
+    most = max(1, SLICE // max(1, max(map(len, rings), default=1)))
+    if len(lon) > most:
+        return np.concatenate([inside(rings, lon[k : k + most], lat[k : k + most]) for k in range(0, len(lon), most)])
     for ring in rings:
         x1, y1, x2, y2 = ring[:-1, 0], ring[:-1, 1], ring[1:, 0], ring[1:, 1]
         span = (y1[None] > lat[:, None]) != (y2[None] > lat[:, None])
@@ -87,22 +96,31 @@ class BoxTree:
         return np.minimum(node * size, self.n), np.minimum((node + 1) * size, self.n)
 
 
-def _products(a0, a1, b0, b1) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of the ranges a0..a1 and b0..b1, range pair by range pair."""
+def _products(a0, a1, b0, b1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of the ranges a0..a1 and b0..b1, about `SLICE` at a time."""
     na, nb = a1 - a0, b1 - b0
-    size = na * nb
-    which = np.repeat(np.arange(len(size)), size)
-    k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
-    return a0[which] + k // nb[which], b0[which] + k % nb[which]
-
-
-def dual_tree(a: BoxTree, b: BoxTree, radius: float) -> tuple[tuple, tuple]:
-    """(sure rows of a, of b), (undecided rows of a, of b): all pairs within `radius` are among them, and the sure
-    ones are within it. Distances are Euclidean in the trees' space; rows are positions in the trees' input."""
+    total = np.cumsum(na * nb)
+    at = 0
+    while at < len(total):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
+        size = (na * nb)[at:end]
+        # One pair of large nodes may alone be over the limit.
+        for first in range(0, max(1, int(size[0])) if end == at + 1 else 1, SLICE):
+            if end == at + 1:
+                k = np.arange(first, min(first + SLICE, int(size[0])))
+                which = np.zeros(len(k), np.int64)
+            else:
+                which = np.repeat(np.arange(len(size)), size)
+                k = np.arange(len(which)) - np.repeat(np.cumsum(size) - size, size)
+            yield a0[at:end][which] + k // np.maximum(nb[at:end], 1)[which], b0[at:end][which] + k % np.maximum(nb[at:end], 1)[which]
+        at = end
+
+
+def dual_tree(a: BoxTree, b: BoxTree, radius: float) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+    """Slices (sure, rows of a, rows of b): all pairs within `radius` are among them once, and the sure ones are within
+    it. Distances are Euclidean in the trees' space; rows are positions in the trees' input."""
     la = lb = 0
     na = nb = np.zeros(1, np.int64)
-    sure: list = []
-    open_: list = []
     while len(na):
         lo = np.maximum(a.low[la][na] - b.high[lb][nb], b.low[lb][nb] - a.high[la][na])
         near = np.sqrt((np.maximum(lo, 0) ** 2).sum(1))
@@ -110,31 +128,97 @@ def dual_tree(a: BoxTree, b: BoxTree, radius: float) -> tuple[tuple, tuple]:
         na, nb = na[keep], nb[keep]
         hi = np.maximum(a.high[la][na] - b.low[lb][nb], b.high[lb][nb] - a.low[la][na])
         certain = np.sqrt((hi**2).sum(1)) <= radius
-        if certain.any():
-            sure.append(_products(*a.rows(la, na[certain]), *b.rows(lb, nb[certain])))
+        for i, j in _products(*a.rows(la, na[certain]), *b.rows(lb, nb[certain])):
+            yield True, a.order[i], b.order[j]
         na, nb = na[~certain], nb[~certain]
         if la == a.depth and lb == b.depth:
-            open_.append(_products(*a.rows(la, na), *b.rows(lb, nb)))
-            break
+            for i, j in _products(*a.rows(la, na), *b.rows(lb, nb)):
+                yield False, a.order[i], b.order[j]
+            return
         if la < a.depth:
             la += 1
             na, nb = np.concatenate((2 * na, 2 * na + 1)), np.concatenate((nb, nb))
         if lb < b.depth:
             lb += 1
             na, nb = np.concatenate((na, na)), np.concatenate((2 * nb, 2 * nb + 1))
-    none = (np.zeros(0, np.int64), np.zeros(0, np.int64))
-    join = lambda parts: tuple(np.concatenate(x) for x in zip(*parts)) if parts else none
-    (sa, sb), (oa, ob) = join(sure), join(open_)
-    return (a.order[sa], b.order[sb]), (a.order[oa], b.order[ob])
 
 
-def near_pairs(lat1, lon1, lat2, lon2, radius_m: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of all pairs whose great-circle distance is at most `radius_m`, each once."""
+def distance_m(lat1, lon1, lat2, lon2) -> np.ndarray:
+    p, q = np.radians(lat1), np.radians(lat2)
+    h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.radians(lon2 - lon1) / 2) ** 2
+    return 2 * EARTH_M * np.arcsin(np.minimum(1.0, np.sqrt(h)))
+
+
+def near_slices(lat1, lon1, lat2, lon2, radius_m: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of all pairs whose great-circle distance is at most `radius_m`, each once, a slice at a time."""
     p, q = unit_xyz(lat1, lon1), unit_xyz(lat2, lon2)
     chord = 2 * math.sin(min(math.pi / 2, radius_m / (2 * EARTH_M)))
-    (sa, sb), (oa, ob) = dual_tree(BoxTree(p, p), BoxTree(q, q), chord)
-    ok = ((p[oa] - q[ob]) ** 2).sum(1) <= chord * chord
-    return np.concatenate((sa, oa[ok])), np.concatenate((sb, ob[ok]))
+    for sure, i, j in dual_tree(BoxTree(p, p), BoxTree(q, q), chord):
+        if not sure:
+            ok = ((p[i] - q[j]) ** 2).sum(1) <= chord * chord
+            i, j = i[ok], j[ok]
+        yield i, j
+
+
+# --- one task -------------------------------------------------------------------------------------------------------
+
+
+def _floats(rows: pa.RecordBatch, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy(zero_copy_only=False)
+
+
+def _group_pairs(rows: pa.RecordBatch, radius_m: float) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """(rel, rows of points, rows of places, distances) of whole tiles."""
+    kind, part = _floats(rows, "kind"), _floats(rows, "part")
+    points, close, areas = (np.flatnonzero(kind == k) for k in (_POINT, _NEAR, _AREA))
+    lat, lon = _floats(rows, "lat"), _floats(rows, "lon")
+    if len(points) and len(close):
+        for i, j in near_slices(lat[points], lon[points], lat[close], lon[close], radius_m):
+            i, j = points[i], close[j]
+            same = part[i] == part[j]  # a pair counts in the point's tile only
+            i, j = i[same], j[same]
+            yield "near", i, j, distance_m(lat[i], lon[i], lat[j], lon[j])
+    if len(points) and len(areas):
+        spot = np.stack((lon, lat), 1)
+        low, high = (np.stack([_floats(rows, c) for c in side], 1) for side in (("west", "south"), ("east", "north")))
+        geoms, read = rows.column("geom"), {}
+        for _, i, j in dual_tree(BoxTree(spot[points], spot[points]), BoxTree(low[areas], high[areas]), 0.0):
+            i, j = points[i], areas[j]
+            fits = (spot[i] >= low[j]).all(1) & (spot[i] <= high[j]).all(1) & (part[i] == part[j])
+            i, j = i[fits], j[fits]
+            order = np.argsort(j, kind="stable")
+            i, j = i[order], j[order]
+            hit = np.zeros(len(i), bool)
+            starts = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1]))) if len(j) else []
+            for s, e in zip(starts, [*starts[1:], len(j)]):
+                if j[s] not in read:
+                    read[j[s]] = rings_of(geoms[int(j[s])].as_py())
+                hit[s:e] = inside(read[j[s]], lon[i[s:e]], lat[i[s:e]])
+            yield "inside", i[hit], j[hit], None
+
+
+def _whole_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by part, regrouped so that each group holds whole parts, about `GROUP_ROWS` rows or one part."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.num_rows
+        if size < GROUP_ROWS:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        part = _floats(rows, "part")
+        starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+        at = 0
+        while len(ends := starts[starts > at]):
+            end = ends[max(0, int(np.searchsorted(ends, at + GROUP_ROWS, "right")) - 1)]
+            if end == ends[-1] and end - at < GROUP_ROWS:
+                break
+            yield rows.slice(at, end - at)
+            at = int(end)
+        held, size = [rows.slice(at)], len(part) - at
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 # --- the distributed join -------------------------------------------------------------------------------------------
@@ -153,14 +237,16 @@ def _cover(west: Column, south: Column, east: Column, north: Column, deg: Column
 
 
 def spatial_join(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
-    """(rel, point_key, place_id) for `points` (key, lat, lon) and `places` (id, lon, lat, geom).
+    """(rel, point_key, place_id, distance_m) for `points` (key, lat, lon) and `places` (id, lon, lat, geom).
 
     `rel` is 'near' for a place whose lon/lat is within `radius_m` of the point and 'inside' for a place whose `geom`
-    (WKT or EWKT polygon or multipolygon, else null) contains the point, holes excluded. Rows without coordinates, or
-    with NaN, match nothing; coordinates out of range count as they stand on the sphere. Each pair comes out once if
-    keys and ids are unique; repeated rows give repeated pairs. Empty tables give an empty result.
+    (WKT or EWKT polygon or multipolygon, else null) contains the point, holes excluded; there `distance_m` is null.
+    Rows without coordinates, or with NaN, match nothing; coordinates out of range count as they stand on the sphere.
+    Each pair comes out once if keys and ids are unique; repeated rows give repeated pairs. Other columns are ignored.
+    Empty tables give an empty result. Where many rows share their spot and all pairs are not wanted, see
+    `spatial_classes`.
     """
-    pts = points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("key", "lat", "lon")
+    pts = materialise(points.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)").select("key", "lat", "lon"))
     near = places.where("lat is not null and lon is not null and not isnan(lat) and not isnan(lon)")
     reach = F.lit(radius_m * 1.01 / EARTH_M * 180 / math.pi)
     # Longitudes shrink towards the poles; where the circle may hold a pole it takes the whole round.
@@ -168,7 +254,7 @@ def spatial_join(points: DataFrame, places: DataFrame, radius_m: float) -> DataF
     wide = F.when(shrink > 0.001, F.least(F.lit(360.0), reach / shrink)).otherwise(F.lit(360.0))
     base = F.lit(TILE_DEG)
     boxes_near = near.select(
-        F.lit("near").alias("rel"), "id", "lat", "lon", F.lit(None).cast("string").alias("geom"), F.lit(0).alias("zoom"),
+        F.lit(_NEAR).cast("byte").alias("kind"), "id", "lat", "lon", F.lit(None).cast("string").alias("geom"), F.lit(0).alias("zoom"),
         (F.col("lon") - wide).alias("west"), (F.col("lat") - reach).alias("south"), (F.col("lon") + wide).alias("east"), (F.col("lat") + reach).alias("north"),
     )
     numbers = F.regexp_extract_all("geom", F.lit(rf"({NUMBER})[ \t]+({NUMBER})"), F.lit(1)).cast("array<double>")
@@ -178,10 +264,12 @@ def spatial_join(points: DataFrame, places: DataFrame, radius_m: float) -> DataF
     # A region larger than a tile goes to a level of larger tiles, so that it never touches more than four.
     side = F.greatest(F.col("east") - F.col("west"), F.col("north") - F.col("south"))
     zoom = F.greatest(F.lit(0), F.ceil(F.log2(side / base))).cast("int")
-    boxes_in = areas.select(F.lit("inside").alias("rel"), "id", F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "geom", zoom.alias("zoom"), "west", "south", "east", "north")
+    none = F.lit(None).cast("double")
+    boxes_in = areas.select(F.lit(_AREA).cast("byte").alias("kind"), "id", none.alias("lat"), none.alias("lon"), "geom", zoom.alias("zoom"), "west", "south", "east", "north")
 
+    sides = ["kind", "id", "lat", "lon", "geom", "west", "south", "east", "north"]
     boxes = boxes_near.unionByName(boxes_in)
-    right = materialise(boxes.withColumn("t", F.explode(_cover(F.col("west"), F.col("south"), F.col("east"), F.col("north"), base * F.pow(F.lit(2.0), "zoom")))).select("rel", "id", "lat", "lon", "geom", "west", "south", "east", "north", "zoom", "t.*"))
+    right = materialise(boxes.withColumn("t", F.explode(_cover(F.col("west"), F.col("south"), F.col("east"), F.col("north"), base * F.pow(F.lit(2.0), "zoom")))).select(*sides, "zoom", "t.*"))
     zooms = sorted(r[0] for r in right.select("zoom").distinct().collect()) or [0]  # at most twelve levels exist
     deg = base * F.pow(F.lit(2.0), "zoom")
     round_ = F.ceil(F.lit(360.0) / deg).cast("long")
@@ -193,63 +281,71 @@ def spatial_join(points: DataFrame, places: DataFrame, radius_m: float) -> DataF
     floor_ = math.log2(max(1.0, TILE_DEG / (2 * radius_m / EARTH_M * 180 / math.pi + 1e-9)))
     counts = left.groupBy(*tile).agg(F.count("*").alias("n")).join(right.groupBy(*tile).agg(F.count("*").alias("m")), tile)
     need = F.ceil(F.log(4.0, F.greatest("n", "m") / TILE_ROWS))
-    cuts = materialise(counts.select(*tile, F.greatest(F.lit(0), F.least(need, F.floor(F.lit(floor_) + F.col("zoom")))).cast("int").alias("k")))
-    fine = deg / F.pow(F.lit(2.0), "k")
-    whole = F.pow(F.lit(2.0), "k").cast("long")
-    left = left.join(cuts, tile).select(
-        "key", "lat", "lon", "zoom", "k", F.pmod(_cell(F.col("lon"), fine), round_ * whole).alias("fx"), _cell(F.col("lat"), fine).alias("fy")
-    )
-    parts = F.filter(
-        _cover(F.col("west"), F.col("south"), F.col("east"), F.col("north"), fine),
-        lambda t: (F.floor(t["tx"] / whole) == F.col("tx")) & (F.floor(t["ty"] / whole) == F.col("ty")),
-    )
-    sides = ["rel", "id", "lat", "lon", "geom", "west", "south", "east", "north"]
-    right = right.join(cuts, tile).select(*sides, "zoom", "k", F.explode(F.when(F.col("k") == 0, F.array(F.struct("tx", "ty"))).otherwise(parts)).alias("t"))
-    right = right.select(*sides, "zoom", "k", F.col("t.tx").alias("fx"), F.col("t.ty").alias("fy"))
-    # What is still too dense lies at one spot; it is cut by hash, each part of one side meeting each of the other.
-    spot = ["zoom", "k", "fx", "fy"]
-    counts = left.groupBy(*spot).agg(F.count("*").alias("n")).join(right.groupBy(*spot).agg(F.count("*").alias("m")), spot)
-    counts = materialise(counts.select(*spot, *[F.greatest(F.lit(1), F.ceil(F.col(a) / TILE_ROWS)).cast("int").alias(b) for a, b in (("n", "cn"), ("m", "cm"))], "n", "m"))
-    total = counts.agg(F.sum(F.col("n") * F.col("cm") + F.col("m") * F.col("cn")).alias("s")).first()["s"] or 0
-    buckets = max(1, math.ceil(total / BUCKET_ROWS))
-    hashes = counts.select(*spot, "cn", "cm")
-    own = F.pmod(F.xxhash64("lat", "lon", "key"), F.col("cn")).cast("int")
-    l2 = left.join(hashes, spot).withColumn("i", own).select("key", "lat", "lon", *spot, "i", F.explode(F.sequence(F.lit(0), F.col("cm") - 1)).alias("j"))
-    r2 = right.join(hashes, spot).withColumn("j", F.pmod(F.xxhash64("id", "rel"), F.col("cm")).cast("int")).select(
-        *sides, *spot, "j", F.explode(F.sequence(F.lit(0), F.col("cn") - 1)).alias("i")
-    )
-    part = F.xxhash64(*spot, "i", "j")
-    l2 = l2.withColumn("part", part).withColumn("bucket", F.pmod(F.col("part"), F.lit(buckets)))
-    r2 = r2.withColumn("part", part).withColumn("bucket", F.pmod(F.col("part"), F.lit(buckets)))
-    l2, r2 = l2.select("bucket", "part", "key", "lat", "lon"), r2.select("bucket", "part", "rel", "id", "lat", "lon", "geom", "west", "south", "east", "north")
-    key_type = points.schema["key"].dataType.simpleString()
-    id_type = places.schema["id"].dataType.simpleString()
-
-    def join(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(p) and len(q):
-            lat, lon, part_p, keys = p["lat"].to_numpy(), p["lon"].to_numpy(), p["part"].to_numpy(), p["key"].to_numpy()
-            close = q[q["rel"] == "near"]
-            if len(close):
-                i, j = near_pairs(lat, lon, close["lat"].to_numpy(), close["lon"].to_numpy(), radius_m)
-                same = part_p[i] == close["part"].to_numpy()[j]  # a pair counts in the point's tile only
-                out.append(pd.DataFrame({"rel": "near", "point_key": keys[i[same]], "place_id": close["id"].to_numpy()[j[same]]}))
-            areas = q[q["rel"] == "inside"]
-            if len(areas):
-                spot = np.stack((lon, lat), 1)
-                low, high = areas[["west", "south"]].to_numpy(float), areas[["east", "north"]].to_numpy(float)
-                (sa, sb), (oa, ob) = dual_tree(BoxTree(spot, spot), BoxTree(low, high), 0.0)
-                i, j = np.concatenate((sa, oa)), np.concatenate((sb, ob))
-                fits = (spot[i] >= low[j]).all(1) & (spot[i] <= high[j]).all(1) & (part_p[i] == areas["part"].to_numpy()[j])
-                i, j = i[fits], j[fits]
-                order = np.argsort(j, kind="stable")
-                i, j = i[order], j[order]
-                starts = np.flatnonzero(np.concatenate(([True], j[1:] != j[:-1]))) if len(j) else []
-                geoms, ids = areas["geom"].to_numpy(), areas["id"].to_numpy()
-                hit = np.zeros(len(i), bool)
-                for s, e in zip(starts, [*starts[1:], len(j)]):
-                    hit[s:e] = inside(rings_of(geoms[j[s]]), lon[i[s:e]], lat[i[s:e]])
-                out.append(pd.DataFrame({"rel": "inside", "point_key": keys[i[hit]], "place_id": ids[j[hit]]}))
-        return pd.concat(out) if out else pd.DataFrame({"rel": [], "point_key": [], "place_id": []})
-
-    return l2.groupBy("bucket").cogroup(r2.groupBy("bucket")).applyInPandas(join, f"rel string, point_key {key_type}, place_id {id_type}")
+    cuts = materialise(counts.select(*tile, F.greatest(F.lit(0), F.least(need, F.floor(F.lit(floor_) + F.col("zoom")))).cast("int").alias("k"), "n", "m"))
+    most, rows = cuts.agg(F.max(F.greatest("n", "m")), F.sum(F.col("n") + F.col("m"))).first()
+    cuts = cuts.drop("n", "m")
+    part = F.xxhash64(*tile)
+    if (most or 0) > TILE_ROWS:
+        fine = deg / F.pow(F.lit(2.0), "k")
+        whole = F.pow(F.lit(2.0), "k").cast("long")
+        left = left.join(cuts, tile).select(
+            "key", "lat", "lon", "zoom", "k", F.pmod(_cell(F.col("lon"), fine), round_ * whole).alias("fx"), _cell(F.col("lat"), fine).alias("fy")
+        )
+        parts = F.filter(
+            _cover(F.col("west"), F.col("south"), F.col("east"), F.col("north"), fine),
+            lambda t: (F.floor(t["tx"] / whole) == F.col("tx")) & (F.floor(t["ty"] / whole) == F.col("ty")),
+        )
+        right = right.join(cuts, tile).select(*sides, "zoom", "k", F.explode(F.when(F.col("k") == 0, F.array(F.struct("tx", "ty"))).otherwise(parts)).alias("t"))
+        right = right.select(*sides, "zoom", "k", F.col("t.tx").alias("fx"), F.col("t.ty").alias("fy"))
+        # What is still too dense lies at one spot; it is cut by hash, each part of one side meeting each of the other.
+        # At most one spot in `TILE_ROWS` rows is.
+        spot = ["zoom", "k", "fx", "fy"]
+        counts = left.groupBy(*spot).agg(F.count("*").alias("n")).join(right.groupBy(*spot).agg(F.count("*").alias("m")), spot)
+        counts = materialise(counts.select(*spot, *[F.ceil(F.col(a) / TILE_ROWS).cast("int").alias(b) for a, b in (("n", "cn"), ("m", "cm"))], "n", "m"))
+        rows = counts.agg(F.sum(F.col("n") * F.col("cm") + F.col("m") * F.col("cn"))).first()[0]
+        dense = materialise(counts.where("cn > 1 or cm > 1").select(*spot, "cn", "cm"))
+        deal = lambda n, *key: F.pmod(F.xxhash64(*key), F.coalesce(n, F.lit(1))).cast("int")
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+        left = left.join(dense, spot, "left").select("key", "lat", "lon", *spot, deal(F.col("cn"), "lat", "lon", "key").alias("i"), each(F.col("cm")).alias("j"))
+        right = right.join(dense, spot, "left").select(*sides, *spot, deal(F.col("cm"), "id", "kind").alias("j"), each(F.col("cn")).alias("i"))
+        part = F.xxhash64(*spot, "i", "j")
+    else:
+        left, right = left.join(cuts, tile, "left_semi"), right.join(cuts, tile, "left_semi")
+    none = {c: F.lit(None).cast(t) for c, t in (("geom", "string"), *((x, "double") for x in ("west", "south", "east", "north")))}
+    key_type, id_type = points.schema["key"].dataType, places.schema["id"].dataType
+    both = left.select(part.alias("part"), F.lit(_POINT).cast("byte").alias("kind"), "key", F.lit(None).cast(id_type).alias("id"), "lat", "lon", *[v.alias(c) for c, v in none.items()])
+    both = both.unionByName(right.select(part.alias("part"), "kind", F.lit(None).cast(key_type).alias("key"), *sides[1:]))
+    both = both.repartition(max(1, math.ceil((rows or 0) / TASK_ROWS)), "part").sortWithinPartitions("part")
+    names = ["rel", "point_key", "place_id", "distance_m"]
+    schema = T.StructType([T.StructField(n, t) for n, t in zip(names, (T.StringType(), key_type, id_type, T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _whole_parts(batches):
+            for rel, i, j, dist in _group_pairs(group, radius_m):
+                if len(i):
+                    away = pa.nulls(len(i), pa.float64()) if dist is None else pa.array(dist)
+                    columns = [pa.array([rel]).take(pa.array(np.zeros(len(i), np.int8))), group.column("key").take(pa.array(i)), group.column("id").take(pa.array(j)), away]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return both.mapInArrow(run, schema)
+
+
+def spatial_classes(points: DataFrame, places: DataFrame, radius_m: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, members of points, members of places): the join between spots instead of rows.
+
+    Points of equal coordinates, and places of equal coordinates and geometry, form a class, named after its smallest
+    key or id and joined once; `pairs` is as of `spatial_join`, between classes, and the members (key or id, class_id,
+    links) name each row's class and the classes it is linked with. A spot that holds a third of all rows costs no more
+    than one row. Rows that match nothing have 0 links.
+    """
+    spots = points.groupBy("lat", "lon").agg(F.min("key").alias("class_id"))
+    forms = places.groupBy("lat", "lon", "geom").agg(F.min("id").alias("class_id"))
+    pairs = materialise(spatial_join(spots.withColumnRenamed("class_id", "key"), forms.withColumnRenamed("class_id", "id"), radius_m))
+
+    def members(rows: DataFrame, classes: DataFrame, on: list[str], name: str, side: str) -> DataFrame:
+        same = classes.select(*[F.col(c).alias(f"_{c}") for c in on], "class_id")
+        match = rows.join(same, [rows[c].eqNullSafe(same[f"_{c}"]) for c in on]).select(name, "class_id")
+        links = pairs.groupBy(F.col(side).alias("class_id")).agg(F.count("*").alias("links"))
+        return match.join(links, "class_id", "left").select(name, "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+    return pairs, members(points, spots, ["lat", "lon"], "key", "point_key"), members(places, forms, ["lat", "lon", "geom"], "id", "place_id")

@@ -29,10 +29,7 @@ def near_join(points: DataFrame, anchors: DataFrame, metres: float) -> DataFrame
     """Pairs (a, b, distance_m) of `points` (key, lat, lon) and `anchors` (id, lat, lon) within `metres`."""
     none = F.lit(None).cast("string").alias("geom")
     pairs = spatial_join(points, anchors.select("id", "lon", "lat", none), metres).where("rel = 'near'")
-    left = points.select(F.col("key").alias("point_key"), F.col("lat").alias("la"), F.col("lon").alias("lo"))
-    right = anchors.select(F.col("id").alias("place_id"), F.col("lat").alias("lb"), F.col("lon").alias("lob"))
-    both = pairs.join(left, "point_key").join(right, "place_id")
-    return both.select(F.col("point_key").alias("a"), F.col("place_id").alias("b"), haversine_m("la", "lo", "lb", "lob").alias("distance_m"))
+    return pairs.select(F.col("point_key").alias("a"), F.col("place_id").alias("b"), "distance_m")
 
 
 def transfer_pairs(stops: DataFrame, metres: float = 500.0) -> DataFrame:
@@ -44,8 +41,8 @@ def transfer_pairs(stops: DataFrame, metres: float = 500.0) -> DataFrame:
 
 def nearest_anchor(points: DataFrame, anchors: DataFrame, metres: float = 250.0) -> DataFrame:
     """The nearest anchor (id, rank, lat, lon) of each point; at equal distance the smaller rank, then id."""
-    pairs = near_join(points, anchors, metres).join(anchors.select(F.col("id").alias("b"), "rank"), "b")
-    best = F.min(F.struct(F.round("distance_m", 3).alias("d"), F.col("rank").alias("r"), F.col("b").alias("b")))
+    pairs = near_join(points, anchors.select(F.struct("rank", "id").alias("id"), "lat", "lon"), metres)
+    best = F.min(F.struct(F.round("distance_m", 3).alias("d"), F.col("b.rank").alias("r"), F.col("b.id").alias("b")))
     return pairs.groupBy("a").agg(best.alias("m")).select("a", F.col("m.b").alias("b"), F.col("m.d").alias("distance_m"), F.col("m.r").alias("rank"))
 
 

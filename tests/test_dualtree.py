@@ -17,7 +17,7 @@ def test_tree_pairs_match_brute_force():
         if not n:
             continue
         p, q = rng.normal(0, spread, (n, 2)) + [50, 8], rng.normal(0, spread, (m, 2)) + [50, 8]
-        i, j = dtm.near_pairs(p[:, 0], p[:, 1], q[:, 0], q[:, 1], 800.0)
+        i, j = (np.concatenate(x) for x in zip(*dtm.near_slices(p[:, 0], p[:, 1], q[:, 0], q[:, 1], 800.0)))
         want = {(a, b) for a in range(n) for b in range(m) if hav(*p[a], *q[b]) <= 800.0}
         assert len(i) == len(want) and set(zip(i.tolist(), j.tolist())) == want
 
@@ -25,12 +25,18 @@ def test_tree_pairs_match_brute_force():
 def join(spark, points, places, radius=300.0):
     p = spark.createDataFrame(points, "key string, lat double, lon double")
     q = spark.createDataFrame(places, "id string, lon double, lat double, geom string")
-    return sorted(map(tuple, dtm.spatial_join(p, q, radius).collect()))
+    rows = dtm.spatial_join(p, q, radius).collect()
+    at, to = {k: (a, o) for k, a, o in points}, {i: (a, o) for i, o, a, _ in places}
+    assert all((r.distance_m is None) == (r.rel == "inside") for r in rows)
+    assert all(abs(r.distance_m - hav(*at[r.point_key], *to[r.place_id])) < 1e-3 for r in rows if r.rel == "near")
+    return sorted((r.rel, r.point_key, r.place_id) for r in rows)
 
 
 def test_join_with_dense_spot_and_edges(spark, monkeypatch):
     monkeypatch.setattr(dtm, "TILE_ROWS", 40)
-    monkeypatch.setattr(dtm, "BUCKET_ROWS", 100)
+    monkeypatch.setattr(dtm, "TASK_ROWS", 100)
+    monkeypatch.setattr(dtm, "GROUP_ROWS", 60)
+    monkeypatch.setattr(dtm, "SLICE", 50)
     rnd = random.Random(2)
     points = [(f"p{i}", 50 + rnd.gauss(0, 0.03), 8 + rnd.gauss(0, 0.03)) for i in range(150)] + [(f"same{i}", 50.0, 8.0) for i in range(90)]
     points += [("west", 10.0, -179.9999), ("pole", 89.99995, 20.0), ("null", None, 1.0), ("nan", float("nan"), 1.0)]
@@ -48,3 +54,21 @@ def test_regions(spark):
     points = [("in", 0.2, 0.2), ("void", 0.5, 0.5), ("second", 5.5, 5.5), ("out", 30.0, 30.0)]
     assert join(spark, points, places) == [("inside", "in", "big"), ("inside", "in", "hole"), ("inside", "second", "big"), ("inside", "second", "multi"), ("inside", "void", "big")]
     assert join(spark, points[:0], places) == [] and join(spark, points, places[:0]) == []
+
+
+def test_one_spot_in_bounded_memory():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    lat = np.full(dtm.TILE_ROWS, 50.0)
+    pairs = sum(len(i) for i, _ in dtm.near_slices(lat, lat, lat, lat, 80.0))
+    assert pairs == dtm.TILE_ROWS**2 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 400_000  # KB
+
+
+def test_classes_of_coincident_rows(spark):
+    points = spark.createDataFrame([(f"p{i:05}", 50.0, 8.0) for i in range(20_000)] + [("q", 51.0, 8.0)], "key string, lat double, lon double")
+    places = spark.createDataFrame([(f"a{i:05}", 8.0, 50.0, None) for i in range(20_000)] + [("b", 8.0001, 50.0, None)], "id string, lon double, lat double, geom string")
+    pairs, of_points, of_places = dtm.spatial_classes(points, places, 80.0)
+    assert sorted((r.point_key, r.place_id) for r in pairs.collect()) == [("p00000", "a00000"), ("p00000", "b")]
+    assert sorted(map(tuple, of_points.groupBy("class_id", "links").count().collect())) == [("p00000", 2, 20_000), ("q", 0, 1)]
+    assert sorted(map(tuple, of_places.groupBy("class_id", "links").count().collect())) == [("a00000", 1, 20_000), ("b", 1, 1)]
