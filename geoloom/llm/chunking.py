@@ -1,10 +1,11 @@
-"""Splitting oversized texts at natural boundaries, without any worker holding a whole one.
-
-A text (a table cell or a file) is cut into ranges. A worker reads its range with a halo at its end, moves both ends
-to the next point where pre-tokens always part, tokenizes what lies between, and emits a small boundary table: for
-each cell of `CELL` tokens the best place to cut, with its token count so far and the place 200 tokens before it.
-Tables are stitched per text by summing up the ranges' token counts, pieces are laid out on the stitched table, and
-their texts are taken by offset.
+"""Splitting oversized texts at natural boundaries, without any worker holding a whole file.
+
+A text (a table cell or a file) is cut into ranges. A worker looks for the first place at or after each end of its range
+where pre-tokens always part, however far that is, so that ranges meet without a gap and their tokens are those of the
+whole; it reads a halo on both sides for the patterns of boundaries, tokenizes what lies between, and emits a boundary
+table: each place to cut with its token count, and the place 200 tokens before it. The tables of a text are read in
+order with running sums, and pieces are laid out as they go by, holding no more than a piece and a range. Texts of
+pieces are taken by offset. The pieces do not depend on the size of the ranges.
 """
 
 from __future__ import annotations
@@ -19,11 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoloom.llm.tokens import VOCABULARY, tokenizer
-from geoloom.util import materialise, spread
+from geoloom.util import materialise, scratch, spread
 
 LIMIT, OVERLAP = 4000, 200
-RANGE_CHARS, HALO_CHARS = 65_536, 4_096
-CELL = 64
+RANGE_CHARS, HALO_CHARS = 65_536, 256
+TASK_BYTES = 64 << 20  # of files per task
+LOOSE = 32  # tokens that the overlap may grow by to start at a word
+EDGE = OVERLAP + LOOSE + 1  # tokens at a range's ends that are handed on, for overlaps that start in the range before
+SPARSE, DENSE = 1_000, 200  # tokens without a better boundary beyond which words, and tokens, are kept as places to cut
 MARGIN = 8  # a piece tokenized by itself may differ by a token or two at its ends
 TOKEN, WORD, SENTENCE, PARAGRAPH, CLAIM, SECTION = range(6)
 
@@ -38,27 +42,54 @@ _PARAGRAPH = re.compile(r"\n[ \t]*\n\s*(?=\S)|^[ \t]*\[\d+\]", re.M)
 _LINE = re.compile(r"\n(?=\S)")
 _SENTENCE = re.compile(r"(?<=[.!?…])[\"')\]]*\s+(?=\S)|(?<=[。！？])(?=\S)")
 _RUN = re.compile(r"[^\W_]+")
+_BROKEN = re.compile("[\udc80-\udcff]")
 _PART = re.compile(r"(?<=\S)(?=\s)|(?<=[^\W_])(?=[^\w\s']|_)")
 
 
-def part_point(text: str, at: int, halo: int, first: bool) -> int:
-    """The next place from `at` where a pre-token certainly ends, within the halo; else `at` itself."""
-    if first:
-        return at
-    m = _PART.search(text, at, min(len(text), at + halo + 1))
-    return m.start() if m and m.start() <= at + halo else at
-
-
-def boundary_table(text: str, start: int, stop: int, path: str, in_bytes: bool = False, alone: int = -1) -> dict:
-    """Boundaries of text[start:stop], offsets in characters or bytes from `start`; see the module's text. A text
-    known to be whole is only counted if it has at most `alone` tokens."""
+def part_point(text: str, at: int) -> int:
+    """The first place from `at` where a pre-token certainly ends, or -1."""
+    m = _PART.search(text, at)
+    return m.start() if m else -1
+
+
+def _held(strength: np.ndarray, least: int, gap: int) -> np.ndarray:
+    """Tokens of at least `least`, where none of a better kind stands within `gap` tokens or the range ends: whatever
+    the range, no such place is missing where a piece could need one."""
+    better = np.flatnonzero(strength > least)
+    edges = np.concatenate(([-1], better, [len(strength)]))
+    wide = np.diff(edges) > gap
+    wide[[0, -1]] = True
+    inner = np.repeat(wide, np.diff(edges))[: len(strength)]
+    return np.flatnonzero((strength == least) & inner)
+
+
+def _before(cut: np.ndarray, token: np.ndarray, strength: np.ndarray) -> np.ndarray:
+    """Where the overlap before each cut starts, as a position in `token` (sorted): at the last word at least `OVERLAP`
+    tokens before if that is near, else at the last clean token; -1 where there is none."""
+    out = np.full(len(cut), -1)
+    at = cut - OVERLAP
+    for least in (0, WORD):
+        some = np.flatnonzero(strength >= least)
+        if len(some):
+            k = np.searchsorted(token[some], at, "right") - 1
+            found = some[np.maximum(k, 0)]
+            fits = (k >= 0) & ((least == 0) | (at - token[found] <= LOOSE))
+            out = np.where(fits, found, out)
+    return out
+
+
+def boundary_table(text: str, start: int, stop: int, path: str, *, in_bytes: bool = False, first: bool = True, more: bool = False, alone: int = -1) -> dict:
+    """Boundaries of text[start:stop], offsets in characters or bytes from `start`; see the module's text. What stands
+    around is only looked at by the patterns. A text known to be whole is only counted if it has at most `alone`
+    tokens."""
     body = text[start:stop]
-    tok = tokenizer(path)
-    starts = tok.byte_starts(body)
-    if len(starts) - 1 <= alone:
+    starts = tokenizer(path).byte_starts(body)
+    n = len(starts) - 1
+    none: list = []
+    if n <= alone:
         return {
-            "chars": len(body), "tokens": len(starts) - 1, "cut_char": [], "cut_token": [], "strength": [], "back_char": [], "back_token": [],
-            "lead_run": 0, "tail_run": 0, "whole_run": False, "most_run": 0,
+            "chars": len(body), "tokens": n, "cut_char": none, "cut_token": none, "strength": none, "back_char": none, "back_token": none,
+            "head_char": none, "head_strength": none, "tail_char": none, "tail_strength": none, "most_run": 0,
         }
     raw = np.frombuffer(body.encode("utf-8", "replace"), np.uint8)
     is_char = (raw & 0xC0) != 0x80
@@ -66,176 +97,211 @@ def boundary_table(text: str, start: int, stop: int, path: str, in_bytes: bool =
     chars = np.concatenate(([0], np.cumsum(is_char)))
     clean = np.concatenate((is_char, [True]))[starts]
     at = chars[starts]  # character at which each token starts
-    n = len(starts) - 1
-    strength = np.where(clean, TOKEN, -1).astype(np.int8)
-
-    def mark(places: list[int], kind: int) -> None:
-        """A place counts at the first token that starts at or after it."""
-        if places and n:
-            k = np.searchsorted(at[:-1], np.array(places))
-            k = k[k < n]
-            # A space before the next word belongs to its token: such a place is one character on.
-            exact = np.abs(at[k] - np.array(places)[: len(k)]) <= 1
-            k = k[exact & (strength[k] >= 0)]
-            strength[k] = np.maximum(strength[k], kind)
-
-    mark([m.start() for m in re.finditer(r"(?<=\S)\s", body)], WORD)
-    mark([m.end() for m in _SENTENCE.finditer(body)], SENTENCE)
-    mark([m.end() - 1 for m in _SENTENCE.finditer(body)], SENTENCE)
-    mark([m.end() for m in _LINE.finditer(body)], SENTENCE)
-    mark([m.end() if m.group().startswith("\n") else m.start() for m in _PARAGRAPH.finditer(body)], PARAGRAPH)
-    mark([m.start() for m in _CLAIM.finditer(body)], CLAIM)
-    mark([m.start() for m in _SECTION.finditer(body)], SECTION)
-
-    runs = [(m.start(), m.end()) for m in _RUN.finditer(body) if m.end() - m.start() > 250 or m.start() == 0 or m.end() == len(body)]
-    span = [(a, b, int(np.searchsorted(at[:-1], b) - np.searchsorted(at[:-1], a))) for a, b in runs]
-    kept = np.zeros(0, np.int64)
-    if n:
-        index = np.flatnonzero(strength >= 0)
-        index = index[index < n]
-        cell = index // CELL
-        order = np.lexsort((index, strength[index], cell))
-        last = np.concatenate((cell[order][1:] != cell[order][:-1], [True]))
-        kept = np.sort(index[order][last])
-    # The overlap starts at the last word boundary (else token) at least OVERLAP tokens before.
-    words = np.flatnonzero(strength[:-1] >= WORD) if n else kept
-    back = kept - OVERLAP
-    w = np.searchsorted(words, back, "right") - 1
-    near = np.where(w >= 0, words[np.maximum(w, 0)] if len(words) else 0, -1)
-    clean_tokens = np.flatnonzero(strength[:-1] >= 0) if n else kept
-    c = np.searchsorted(clean_tokens, back, "right") - 1
-    token = np.where(c >= 0, clean_tokens[np.maximum(c, 0)] if len(clean_tokens) else 0, -1)
-    chosen = np.where(back - near <= 32, near, token)
-    chosen = np.where(back >= 0, chosen, -1)
+    strength = np.where(clean[:-1], TOKEN, -1).astype(np.int8)
+
+    def mark(places: Iterator[int], kind: int) -> None:
+        """A place counts at the first token that starts at or after it; a space before a word belongs to its token,
+        so such a place is one character on."""
+        where = np.fromiter(places, np.int64) - start
+        where = where[(where >= 0) & (where < len(body))]
+        k = np.searchsorted(at[:-1], where)
+        where, k = where[k < n], k[k < n]
+        k = k[(np.abs(at[k] - where) <= 1) & (strength[k] >= 0)]
+        strength[k] = np.maximum(strength[k], kind)
+
+    mark((m.start() for m in re.finditer(r"(?<=\S)\s", text)), WORD)
+    mark((m.end() for m in _SENTENCE.finditer(text)), SENTENCE)
+    mark((m.end() - 1 for m in _SENTENCE.finditer(text)), SENTENCE)
+    mark((m.end() for m in _LINE.finditer(text)), SENTENCE)
+    mark((m.end() if m.group().startswith("\n") else m.start() for m in _PARAGRAPH.finditer(text)), PARAGRAPH)
+    mark((m.start() for m in _CLAIM.finditer(text)), CLAIM)
+    mark((m.start() for m in _SECTION.finditer(text)), SECTION)
+
+    # Ranges meet where no run of letters and digits stands, so each run is in one range.
+    runs = [(m.start(), m.end()) for m in _RUN.finditer(body) if m.end() - m.start() > 250]
+    most = max((int(np.searchsorted(at[:-1], b) - np.searchsorted(at[:-1], a)) for a, b in runs), default=0)
+    kinds = np.minimum(strength, SENTENCE)
+    kept = np.sort(np.concatenate((np.flatnonzero(strength >= SENTENCE), _held(kinds, WORD, SPARSE), _held(kinds, TOKEN, DENSE))))
+    back = _before(kept, np.arange(n), strength)
+    if not first:
+        back[kept < EDGE] = -1
     place = starts if in_bytes else at
+    head, tail = (slice(0, 0) if first else slice(0, EDGE)), (slice(max(0, n - EDGE), n) if more else slice(0, 0))
     return {
-        "chars": len(raw) if in_bytes else len(body), "tokens": n,
-        "cut_char": place[kept].tolist(), "cut_token": kept.tolist(), "strength": strength[kept].tolist(),
-        "back_char": np.where(chosen >= 0, place[np.maximum(chosen, 0)], -1).tolist() if n else [], "back_token": chosen.tolist(),
-        "lead_run": next((t for a, b, t in span if a == 0), 0), "tail_run": next((t for a, b, t in span if b == len(body)), 0),
-        "whole_run": bool(span) and span[0][:2] == (0, len(body)), "most_run": max([t for _, _, t in span], default=0),
+        "chars": len(raw) if in_bytes else len(body), "tokens": n, "cut_char": place[kept], "cut_token": kept, "strength": strength[kept].astype(np.int32),
+        "back_char": np.where(back >= 0, place[np.maximum(back, 0)], -1), "back_token": back,
+        "head_char": place[:-1][head], "head_strength": strength[head].astype(np.int32), "tail_char": place[:-1][tail], "tail_strength": strength[tail].astype(np.int32), "most_run": most,
     }
 
 
 _TABLE = (
     "chars bigint, tokens bigint, cut_char array<bigint>, cut_token array<bigint>, strength array<int>, back_char array<bigint>, "
-    "back_token array<bigint>, lead_run bigint, tail_run bigint, whole_run boolean, most_run bigint"
+    "back_token array<bigint>, head_char array<bigint>, head_strength array<int>, tail_char array<bigint>, tail_strength array<int>, most_run bigint"
 )
 
 
-def lay_out(tables: pd.DataFrame, limit: int) -> tuple[list[tuple[int, int, int, int]], int, int]:
-    """(pieces as (first char, end char, tokens, strength of the cut), tokens, longest run) from stitched tables."""
-    cuts: list[np.ndarray] = []
-    char = tok = 0
-    run = longest = 0
-    for r in tables.sort_values("range_no").itertuples():
-        k = np.asarray(r.cut_token, np.int64)
-        if len(k):
-            bc, bt = np.asarray(r.back_char, np.int64), np.asarray(r.back_token, np.int64)
-            cuts.append(np.stack((np.asarray(r.cut_char) + char, k + tok, np.asarray(r.strength), np.where(bt >= 0, bc + char, -1), np.where(bt >= 0, bt + tok, -1)), 1))
-        longest = max(longest, r.most_run, run + r.lead_run)
-        run = run + r.lead_run if r.whole_run else r.tail_run
-        char += r.chars
-        tok += r.tokens
-    if tok <= limit:
-        return [(0, char, tok, SECTION)], tok, longest
-    table = np.concatenate(cuts)
-    usable = table[table[:, 4] >= 0]
-    room = limit - MARGIN
-    pieces, s_char, s_tok = [], 0, 0
-    while tok - s_tok > room:
-        low, high = np.searchsorted(usable[:, 1], [s_tok + OVERLAP + 1, s_tok + room + 1])
-        window = usable[low:high]
-        window = window[window[:, 4] > s_tok]
-        if not len(window):  # only within 200 tokens of a range's start: cut there without looking for a better place
-            k = table[np.searchsorted(table[:, 1], s_tok + room, "right") - 1]
-            pieces.append((s_char, int(k[0]), int(k[1] - s_tok), int(k[2])))
-            s_char, s_tok = int(k[0]), int(k[1])
-            continue
-        late = window[window[:, 1] > s_tok + room // 2]
-        window = late if len(late) else window
-        # Sentences and stronger places count by kind, and the latest of the strongest kind is taken.
-        best = window[window[:, 2] == window[:, 2].max()][-1]
-        pieces.append((s_char, int(best[0]), int(best[1] - s_tok), int(best[2])))
-        s_char, s_tok = int(best[3]), int(best[4])
-    pieces.append((s_char, char, tok - s_tok, SECTION))
-    return pieces, tok, longest
-
-
-def _stitched(tables: DataFrame, limit: int) -> DataFrame:
-    """Pieces of each key from its ranges' tables; texts within the limit are left out."""
+class Layout:
+    """Lays out the pieces of one text while its boundary tables go by."""
 
-    def stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces, tokens, run = lay_out(pdf, limit)
-        return pd.DataFrame({
-            "key": pdf["key"].iloc[0], "piece": range(len(pieces)), "pieces": len(pieces), "first_char": [p[0] for p in pieces], "end_char": [p[1] for p in pieces],
-            "n_tokens": [p[2] for p in pieces], "strength": [p[3] for p in pieces], "text_tokens": tokens, "longest_run": run,
-        })
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.char = self.tok = self.longest = self.s_char = self.s_tok = 0
+        self.cuts = np.zeros((0, 5), np.int64)  # character, token, strength, and character and token of the overlap
+        self.edge = np.zeros((0, 3), np.int64)  # the last tokens: character, token, strength
 
-    laid = tables.groupBy("key").applyInPandas(stitch, f"key {tables.schema['key'].dataType.simpleString()}, {_PIECES}")
-    return laid.where(F.col("text_tokens") > limit)
+    def add(self, r) -> list[tuple[int, int, int, int]]:
+        """The pieces (first, end, tokens, strength of the cut) that are certain once table `r` is known."""
+        k = np.asarray(r.cut_token, np.int64)
+        bc, bt = np.asarray(r.back_char, np.int64), np.asarray(r.back_token, np.int64)
+        new = np.stack((np.asarray(r.cut_char, np.int64) + self.char, k + self.tok, np.asarray(r.strength, np.int64), np.where(bt >= 0, bc + self.char, -1), np.where(bt >= 0, bt + self.tok, -1)), 1)
+        head = self._tokens(r.head_char, r.head_strength, self.tok)
+        near = np.concatenate((self.edge, head))
+        early = np.flatnonzero((k < EDGE) & (bt < 0)) if len(head) else np.zeros(0, np.int64)
+        b = _before(new[early, 1], near[:, 1], near[:, 2])
+        new[early[b >= 0], 3:] = near[b[b >= 0], :2]
+        tail = self._tokens(r.tail_char, r.tail_strength, self.tok + r.tokens - len(r.tail_char))
+        self.edge = np.concatenate((self.edge, tail))[-EDGE:]
+        self.cuts = np.concatenate((self.cuts, new))
+        self.longest = max(self.longest, r.most_run)
+        self.char, self.tok = self.char + r.chars, self.tok + r.tokens
+        pieces, room = [], self.limit - MARGIN
+        while self.tok > self.limit and self.tok - self.s_tok > room:
+            low, high = np.searchsorted(self.cuts[:, 1], [self.s_tok + OVERLAP + 1, self.s_tok + room + 1])
+            window = self.cuts[low:high]
+            window = window[window[:, 4] > self.s_tok]
+            if len(window):
+                late = window[window[:, 1] > self.s_tok + room // 2]
+                window = late if len(late) else window
+                best = window[window[:, 2] == window[:, 2].max()][-1]  # the latest of the strongest kind
+                pieces.append((self.s_char, int(best[0]), int(best[1] - self.s_tok), int(best[2])))
+                self.s_char, self.s_tok = int(best[3]), int(best[4])
+            else:  # characters of many tokens only: the last place there is, without an overlap
+                best = self.cuts[max(0, int(np.searchsorted(self.cuts[:, 1], self.s_tok + room, "right")) - 1)]
+                if best[1] <= self.s_tok:
+                    break
+                pieces.append((self.s_char, int(best[0]), int(best[1] - self.s_tok), int(best[2])))
+                self.s_char, self.s_tok = int(best[0]), int(best[1])
+        self.cuts = self.cuts[self.cuts[:, 1] > self.s_tok]
+        return pieces
+
+    def _tokens(self, char, strength, token: int) -> np.ndarray:
+        return np.stack((np.asarray(char, np.int64) + self.char, np.arange(len(char)) + token, np.asarray(strength, np.int64)), 1)
+
+    def end(self) -> list[tuple[int, int, int, int]]:
+        """The last piece; nothing for a text within the limit."""
+        return [(self.s_char, self.char, self.tok - self.s_tok, SECTION)] if self.tok > self.limit else []
 
 
-_PIECES = "piece int, pieces int, first_char bigint, end_char bigint, n_tokens bigint, strength int, text_tokens bigint, longest_run bigint"
+def _stitched(tables: DataFrame, limit: int) -> DataFrame:
+    """Pieces of each key from its ranges' tables, read in order; texts within the limit are left out."""
+    names = ["key", "piece", "last", "first_char", "end_char", "n_tokens", "strength", "text_tokens", "longest_run"]
 
+    def stitch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, layout, count = None, None, 0
 
-def _range_tables(ranges: DataFrame, path: str, halo: int, limit: int) -> DataFrame:
-    """Boundary tables of (key, range_no, text, size, more): `text` holds the range's `size` characters, one before
-    (except at the start) and the halo after; `more` says whether another range follows."""
-    key = ranges.schema["key"].dataType.simpleString()
+        def rows(pieces: list, last: bool) -> list[tuple]:
+            return [(key, count + i, last, *p, layout.tok, layout.longest) for i, p in enumerate(pieces)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out: list[tuple] = []
             for r in batch.itertuples():
-                lead = 0 if r.range_no == 0 else 1
-                start = part_point(r.text, lead, halo, r.range_no == 0)
-                stop = part_point(r.text, lead + r.size, halo, False) if r.more else len(r.text)
-                alone = limit if r.range_no == 0 and not r.more else -1
-                out.append({"key": r.key, "range_no": r.range_no, "more": r.more} | boundary_table(r.text, start, max(start, stop), path, alone=alone))
-            yield pd.DataFrame(out)
+                if layout is None or r.key != key:
+                    out += rows(layout.end(), True) if layout else []
+                    key, layout, count = r.key, Layout(limit), 0
+                new = rows(layout.add(r), False)
+                out, count = out + new, count + len(new)
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if layout and (out := rows(layout.end(), True)):
+            yield pd.DataFrame(out, columns=names)
+
+    ordered = tables.repartition("key").sortWithinPartitions("key", "range_no")
+    return ordered.mapInPandas(stitch, f"key {tables.schema['key'].dataType.simpleString()}, {_PIECES}")
+
 
-    return ranges.mapInPandas(run, f"key {key}, range_no int, more boolean, {_TABLE}")
+_PIECES = "piece int, last boolean, first_char bigint, end_char bigint, n_tokens bigint, strength int, text_tokens bigint, longest_run bigint"
 
 
-def piece_table(docs: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY, range_chars: int = RANGE_CHARS, halo: int = HALO_CHARS) -> DataFrame:
+def piece_table(docs: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY, range_chars: int = RANGE_CHARS) -> DataFrame:
     """Pieces by offset of `docs` (key, text) of more than `limit` tokens; keys must be unique.
 
-    Columns: key, piece (from 0), pieces, first_char, end_char, n_tokens, strength of the cut at the end, text_tokens
-    and longest_run (tokens of the longest unbroken run of letters and digits, counted for runs over 250 characters).
-    Texts of at most `limit` bytes cannot have more tokens and are not tokenized. Null and empty texts give no row.
+    Columns: key, piece (from 0), last (whether it is the text's last), first_char, end_char, n_tokens, strength of the
+    cut at the end, text_tokens and longest_run (tokens of the longest unbroken run of letters and digits, counted for
+    runs over 250 characters; both of all the text in the row with `last`, else of what was read by then). Texts of at
+    most `limit` bytes cannot have more tokens and are not tokenized. Null and empty texts give no row.
     """
-    big = spread(docs.where(F.octet_length("text") > limit)).select("key", "text", F.char_length("text").alias("n"))
-    ranges = big.select("key", "text", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / range_chars).cast("int"))).alias("range_no"))
-    first = F.col("range_no") * range_chars
-    lead = F.when(F.col("range_no") > 0, 1).otherwise(0)
-    ranges = ranges.select(
-        "key", "range_no", F.substring("text", first + 1 - lead, F.lit(range_chars + halo + 1) + lead).alias("text"),
-        F.least(F.lit(range_chars), F.col("n") - first).cast("int").alias("size"), (first + range_chars < F.col("n")).alias("more"),
-    )
-    tables = _range_tables(ranges, path, halo, limit)
-    # A text that is one range is counted there; only longer ones can be over the limit from here on.
-    return _stitched(tables.where((F.col("range_no") > 0) | (F.col("tokens") > limit) | F.col("more")), limit)
+    key = docs.schema["key"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, text in zip(batch["key"], batch["text"]):
+                out, start = [], 0
+                while start >= 0:
+                    stop = part_point(text, start + range_chars) if start + range_chars < len(text) else -1
+                    end = stop if stop >= 0 else len(text)
+                    first, left = start == 0, max(0, start - HALO_CHARS)
+                    alone = limit if first and stop < 0 else -1
+                    table = boundary_table(text[left : end + HALO_CHARS], start - left, end - left, path, first=first, more=stop >= 0, alone=alone)
+                    if table["tokens"] > alone:
+                        out.append({"key": k, "range_no": len(out)} | table)
+                    start = stop
+                if out:
+                    yield pd.DataFrame(out)
+
+    big = spread(docs.where(F.octet_length("text") > limit).select("key", "text"))
+    return _stitched(big.mapInPandas(run, f"key {key}, range_no int, {_TABLE}"), limit)
 
 
 def split_documents(docs: DataFrame, id_col: str, text: str, **options) -> DataFrame:
-    """The pieces of all texts over the limit, with their texts: id_col, piece, pieces, first_char, end_char,
+    """The pieces of all texts over the limit, with their texts: id_col, piece, last, first_char, end_char,
     n_tokens, strength, piece_text. Consecutive pieces share the 200 tokens before a cut (rounded up to a word)."""
     source = docs.select(F.col(id_col).alias("key"), F.col(text).alias("text"))
     pieces = materialise(piece_table(source, **options))
     joined = source.join(pieces, "key")
     return joined.select(
-        F.col("key").alias(id_col), "piece", "pieces", "first_char", "end_char", "n_tokens", "strength",
+        F.col("key").alias(id_col), "piece", "last", "first_char", "end_char", "n_tokens", "strength",
         F.substring("text", F.col("first_char") + 1, F.col("end_char") - F.col("first_char")).alias("piece_text"),
     )
 
 
-def split_files(files: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY, range_bytes: int = 4 << 20, halo: int = HALO_CHARS) -> DataFrame:
+def _text_at(name: str, first: int, end: int) -> str:
+    """Bytes first..end of a file as text; a byte that is no UTF-8 becomes a sign of one byte, so offsets hold."""
+    with open(name, "rb") as f:
+        f.seek(first)
+        return _BROKEN.sub("\x1a", f.read(end - first).decode("utf-8", "surrogateescape"))
+
+
+def _file_point(name: str, at: int, size: int, step: int) -> int:
+    """The first byte from `at` where pre-tokens part; the file is read on, `step` bytes at a time, until one is found."""
+    begin, reach = max(0, at - 4), at
+    while reach < size:
+        reach = min(size, reach + step)
+        with open(name, "rb") as f:
+            f.seek(begin)
+            data = f.read(reach - begin)
+        lead = 0  # the range may begin inside a character
+        while lead < 4 and lead < len(data) and data[lead] & 0xC0 == 0x80 and begin:
+            lead += 1
+        tail = len(data)
+        if reach < size:  # a character cut off at the end waits for the next step
+            while tail > lead and data[tail - 1] & 0xC0 == 0x80:
+                tail -= 1
+            tail -= tail > lead and data[tail - 1] >= 0xC0
+        text = data[lead:tail].decode("utf-8", "surrogateescape")
+        after = len(data[lead : max(lead, at - begin)].decode("utf-8", "ignore"))
+        if (k := part_point(text, after)) >= 0:
+            return begin + lead + len(text[:k].encode("utf-8", "surrogateescape"))
+        step *= 2
+    return size
+
+
+def split_files(files: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY, range_bytes: int = 4 << 20) -> DataFrame:
     """The pieces of UTF-8 files named in the column `path`, which all executors must be able to read.
 
-    Workers seek to their range and read it with the halo, then seek to their pieces; none reads a whole file.
-    Output: path, piece, pieces, first_byte, end_byte, n_tokens, strength, piece_text. Files of at most `limit` tokens
-    and empty files give no row, a missing file raises, bytes that are no UTF-8 come out as replacement characters.
+    Workers seek to their range and read it with the halo, then seek to their pieces; none reads a whole file, unless
+    it is one run without a place where pre-tokens part. Output: path, piece, last, first_byte, end_byte, n_tokens,
+    strength, text_tokens, longest_run (as in `piece_table`), piece_text. Files of at most `limit` tokens and empty
+    files give no row, a missing file raises, bytes that are no UTF-8 come out as replacement characters.
     """
 
     def spans(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -247,34 +313,18 @@ def split_files(files: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
                 k = range(-(-n // range_bytes))
                 yield pd.DataFrame({"path": [name] * len(k), "range_no": pd.Series(k, dtype="int32"), "n": pd.Series([n] * len(k), dtype="int64")})
 
-    def read(name: str, first: int, size: int) -> tuple[str, int, int]:
-        """The range's text with one character before it and the halo after, and where the range lies in it."""
-        lead = min(4, first)
-        with open(name, "rb") as f:
-            f.seek(first - lead)
-            data = f.read(lead + size + 4 * halo + 4)
-
-        def whole(i: int) -> int:  # a character belongs to the range in which it starts
-            while i < len(data) and data[i] & 0xC0 == 0x80:
-                i += 1
-            return i
-
-        begin, end = whole(lead), whole(lead + size)
-        before = begin - 1
-        while before > 0 and data[before] & 0xC0 == 0x80:
-            before -= 1
-        head = data[max(0, before) : begin].decode("utf-8", "replace") if first else ""
-        own = data[begin:end].decode("utf-8", "replace")
-        return head + own + data[end:].decode("utf-8", "ignore"), len(head), len(own)
-
     def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                first = r.range_no * range_bytes
-                text, lead, size = read(r.path, first, min(range_bytes, r.n - first))
-                start = part_point(text, lead, halo, r.range_no == 0)
-                stop = part_point(text, lead + size, halo, False) if first + range_bytes < r.n else len(text)
-                yield pd.DataFrame([{"key": r.path, "range_no": r.range_no} | boundary_table(text, start, max(start, stop), path, True)])
+                at = r.range_no * range_bytes
+                start = _file_point(r.path, at, r.n, HALO_CHARS) if r.range_no else 0
+                stop = _file_point(r.path, at + range_bytes, r.n, HALO_CHARS) if at + range_bytes < r.n else r.n
+                if start >= stop:
+                    continue  # all of the range belongs to a run that began before it
+                left = _text_at(r.path, max(0, start - HALO_CHARS), start)
+                body, right = _text_at(r.path, start, stop), _text_at(r.path, stop, min(r.n, stop + HALO_CHARS))
+                table = boundary_table(left + body + right, len(left), len(left) + len(body), path, in_bytes=True, first=start == 0, more=stop < r.n)
+                yield pd.DataFrame([{"key": r.path, "range_no": r.range_no} | table])
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -283,13 +333,36 @@ def split_files(files: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
                 with open(r.key, "rb") as f:
                     f.seek(r.first_char)
                     texts.append(f.read(r.end_char - r.first_char).decode("utf-8", "replace"))
-            yield pd.DataFrame({
-                "path": batch["key"], "piece": batch["piece"], "pieces": batch["pieces"], "first_byte": batch["first_char"], "end_byte": batch["end_char"],
-                "n_tokens": batch["n_tokens"], "strength": batch["strength"], "piece_text": texts,
-            })
+            batch["piece_text"] = texts
+            yield batch.rename(columns={"key": "path", "first_char": "first_byte", "end_char": "end_byte"})
 
     listed = files.select("path").distinct().mapInPandas(spans, "path string, range_no int, n bigint")
-    found = listed.repartition("path", "range_no").mapInPandas(tables, f"key string, range_no int, {_TABLE}")
+    # The names are small but what they stand for is not, so the number of tasks follows from the ranges.
+    listed = materialise(listed)
+    tasks = max(files.sparkSession.sparkContext.defaultParallelism, listed.count() * range_bytes // TASK_BYTES)
+    found = listed.repartition(tasks, "path", "range_no").mapInPandas(tables, f"key string, range_no int, {_TABLE}")
     pieces = _stitched(found, limit)
-    out = "path string, piece int, pieces int, first_byte bigint, end_byte bigint, n_tokens bigint, strength int, piece_text string"
-    return pieces.repartition("key", "piece").mapInPandas(take, out)
+    out = f"path string, {_PIECES}, piece_text string".replace("_char", "_byte")
+    return pieces.repartition(tasks, "key", "piece").mapInPandas(take, out)
+
+
+def write_files(docs: DataFrame, id_col: str, text: str, least: int = LIMIT) -> DataFrame:
+    """Writes each text of more than `least` bytes to a file of its own in the shared folder: (id_col, path). The folder
+    must be mounted on all executors; a task that runs again writes the same files."""
+    folder = scratch(docs.sparkSession, "texts").removeprefix("file:")
+    if ":" in folder.split("/", 1)[0]:
+        raise ValueError(f"{folder} is no mounted folder")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            paths = [f"{folder}/{key}.txt" for key in batch[id_col]]
+            for name, body in zip(paths, batch[text]):
+                part = f"{name}.{os.getpid()}"
+                with open(part, "wb") as f:
+                    f.write(body.encode("utf-8", "replace"))
+                os.replace(part, name)
+            yield pd.DataFrame({id_col: batch[id_col], "path": paths})
+
+    big = spread(docs.where(F.octet_length(text) > least).select(id_col, text))
+    return materialise(big.mapInPandas(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, path string"))

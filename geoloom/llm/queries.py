@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geo import point_of
 from geoloom.llm.canon import canon_entries, map_places
-from geoloom.llm.chunking import LIMIT, piece_table, split_documents
+from geoloom.llm.chunking import LIMIT, piece_table, split_documents, split_files, write_files
 from geoloom.llm.entity import match_entities
 from geoloom.llm.leaks import LEAST_RUN, find_leaks
 from geoloom.llm.mixing import mix_sources
@@ -94,15 +94,21 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), "text")
-    first = piece_table(docs).where("piece = 0")
-    return first.select(F.col("key").alias("doc_id"), (F.col("longest_run") > LIMIT).cast("int").alias("hard_cut"))
+    ends = piece_table(docs).where("last")
+    return ends.select(F.col("key").alias("doc_id"), (F.col("longest_run") > LIMIT).cast("int").alias("hard_cut"))
 
 
 def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_pieces)}
+def p10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same pieces from files, read in ranges that are far smaller than the longest texts."""
+    files = write_files(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return split_files(files, range_bytes=16 << 10).join(files, "path").drop("path", "text_tokens", "longest_run")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_pieces, p10_files)}
 ORACLES: dict = {
     "p2_topk": """WITH v AS (SELECT id, any_value(osm_id) AS osm_id, any_value(embedding)::DOUBLE[] AS e FROM geo_places WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
 s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.osm_id % 20 = 0 AND a.id <> b.id)

@@ -25,7 +25,7 @@ def check(rows, texts, limit, overlap):
     assert set(by) == {k for k, t in texts.items() if t and tok.count(t) > limit}
     for k, ps in by.items():
         t = texts[k]
-        assert ps[0].first_char == 0 and ps[-1].end_char == len(t) and all(p.pieces == len(ps) for p in ps)
+        assert ps[0].first_char == 0 and ps[-1].end_char == len(t) and [p.last for p in ps] == [False] * (len(ps) - 1) + [True]
         for p in ps:
             assert p.piece_text == t[p.first_char : p.end_char] and tok.count(p.piece_text) <= limit
         for a, b in zip(ps, ps[1:]):
@@ -40,17 +40,12 @@ def test_pieces(spark):
     assert all(p.strength >= K.SENTENCE for p in by[1][:-1])
 
 
-def test_ranges_agree_with_whole(spark):
-    df = spark.createDataFrame([(k, t) for k, t in TEXTS.items()], "key bigint, text string")
-    whole = {(r.key, r.text_tokens, r.longest_run) for r in K.piece_table(df, range_chars=1 << 30).collect()}
-    cut = {(r.key, r.text_tokens, r.longest_run) for r in K.piece_table(df, range_chars=6000, halo=500).collect()}
-    assert {(k, n) for k, n, _ in whole if k in (1, 5, 8)} == {(k, n) for k, n, _ in cut if k in (1, 5, 8)}
-    # A run longer than the halo is cut at fixed places, where its tokens may part differently.
-    for k in (3, 4):
-        (a,), (b,) = ([x for x in s if x[0] == k] for s in (whole, cut))
-        assert abs(a[1] - b[1]) <= 8 and (a[2] > K.LIMIT) == (b[2] > K.LIMIT)
-    rows = K.split_documents(df.withColumnRenamed("key", "doc_id"), "doc_id", "text", range_chars=6000, halo=500).collect()
-    check(rows, TEXTS, K.LIMIT, K.OVERLAP)
+def test_pieces_do_not_depend_on_ranges(spark):
+    df = spark.createDataFrame(list(TEXTS.items()), "doc_id bigint, text string")
+    got = [sorted(map(tuple, K.split_documents(df, "doc_id", "text", range_chars=n).collect())) for n in (1 << 30, 6000, 331)]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 10
+    runs = {r.key: r.longest_run for r in K.piece_table(df.withColumnRenamed("doc_id", "key"), range_chars=6000).where("last").collect()}
+    assert runs[3] > K.LIMIT and runs[1] == 0
 
 
 def test_files(spark, tmp_path):
@@ -59,7 +54,7 @@ def test_files(spark, tmp_path):
         p = tmp_path / f"{k}.txt"
         p.write_bytes((TEXTS[k] or "").encode())
         paths.append((str(p),))
-    rows = K.split_files(spark.createDataFrame(paths, "path string"), range_bytes=10_000, halo=500).collect()
+    rows = K.split_files(spark.createDataFrame(paths, "path string"), range_bytes=10_000).collect()
     tok = tokenizer()
     for k in (1, 4):
         raw = TEXTS[k].encode()
@@ -70,6 +65,26 @@ def test_files(spark, tmp_path):
         for a, b in zip(ps, ps[1:]):
             assert b.first_byte < a.end_byte
     assert not [r for r in rows if r.path.endswith(("2.txt", "7.txt"))]
+    for size in (1 << 30, 777):
+        again = K.split_files(spark.createDataFrame(paths, "path string"), range_bytes=size).collect()
+        cut = lambda x: sorted((r.path, r.piece, r.last, r.first_byte, r.end_byte, r.n_tokens, r.strength) for r in x)
+        assert cut(again) == cut(rows)
+
+
+def test_files_of_broken_bytes(spark, tmp_path):
+    p = tmp_path / "x.txt"
+    raw = ("word é " * 9000).encode().replace(b"d \xc3\xa9", b"d \xc3", 40)
+    p.write_bytes(raw)
+    rows = sorted(K.split_files(spark.createDataFrame([(str(p),)], "path string"), range_bytes=5_000).collect(), key=lambda r: r.piece)
+    assert rows[0].first_byte == 0 and rows[-1].end_byte == len(raw) and all(r.piece_text == raw[r.first_byte : r.end_byte].decode("utf-8", "replace") for r in rows)
+
+
+def test_files_and_cells_agree(spark):
+    df = spark.createDataFrame([(k, TEXTS[k]) for k in (1, 4, 5)], "doc_id bigint, text string")
+    cells = {(r.doc_id, r.piece): r.piece_text for r in K.split_documents(df, "doc_id", "text").collect()}
+    files = K.write_files(df, "doc_id", "text")
+    got = K.split_files(files, range_bytes=4_000).join(files, "path").collect()
+    assert {(r.doc_id, r.piece): r.piece_text for r in got} == cells
 
 
 def test_empty(spark):
