@@ -4,9 +4,10 @@ Weights are tempered: source i gets w_i(a) proportional to n_i * (t_i / n_i) **
 tokens and t_i its target; a = 1 is the target, a = 0 the sizes as they are. The exponent is found by bisection as
 the largest in [0, 1] at which no source is used more often than its repetition limit (or at which the weights reach
 a wanted entropy). Without a wanted size the mix is as large as the limits allow at a = 1, so the target shares are
-met. Weights are realised as whole passes over a source and one last pass cut where the budget ends, in the order of
-a hash of (seed, document): the permutation is cut into blocks, blocks are summed up in parallel, and only the block
-in which the budget ends is looked at row by row.
+met; the bisection then confirms 1 at that size. Weights are realised as whole passes over a source and one last pass
+cut where the budget ends, in the order of a hash of (seed, document): the permutation is cut into blocks, blocks are
+summed up in parallel, and only the block in which the budget ends is looked at row by row. The order of the mix
+deals each source's passes, each permuted by itself, evenly over all of it, in blocks of nearly equal make-up.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ from geoloom.util import materialise, spread
 
 MAX_SOURCES = 100_000
 ROWS_PER_BLOCK = 4096
+GRID = 256  # steps of the exponent at which the bisection starts
 
 
 def count_tokens(docs: DataFrame, id_col: str, text: str, keep: list[str], path: str = VOCABULARY) -> DataFrame:
@@ -68,11 +70,14 @@ def solve_exponent(sizes: dict[str, int], targets: dict[str, float], repeats: di
             low, high = (mid, high) if below == rising else (low, mid)
         a = (low + high) / 2
         return a, min(size or math.inf, largest(a))
-    if size is None or largest(1.0) >= size:
-        return 1.0, size or largest(1.0)
-    low, high = 0.0, 1.0
-    if largest(0.0) < size:
-        return 0.0, largest(0.0)
+    size = largest(1.0) if size is None else size
+    # The limits may hold on several stretches of the exponent; the one nearest to the targets is bisected.
+    grid = [k / GRID for k in range(GRID, -1, -1)]
+    low = next((a for a in grid if largest(a) >= size), None)
+    if low is None:
+        low = max(grid, key=largest)
+        return low, largest(low)
+    high = min(1.0, low + 1 / GRID)
     for _ in range(60):
         mid = (low + high) / 2
         low, high = (mid, high) if largest(mid) >= size else (low, mid)
@@ -80,10 +85,28 @@ def solve_exponent(sizes: dict[str, int], targets: dict[str, float], repeats: di
 
 
 class Mix:
-    """The result: `documents` (one row per document used) and `shares` (one row per source)."""
+    """The result: `documents` (one row per document used), `shares` (one row per source) and `order` (one row per use:
+    source, doc_id, n_tokens, copy, block, place; the mix is read by block and place)."""
 
-    def __init__(self, documents: DataFrame, shares: DataFrame, exponent: float, size: float):
-        self.documents, self.shares, self.exponent, self.size = documents, shares, exponent, size
+    def __init__(self, documents: DataFrame, order: DataFrame, shares: DataFrame, exponent: float, size: float):
+        self.documents, self.order, self.shares, self.exponent, self.size = documents, order, shares, exponent, size
+
+
+def _unit(seed: int, *cols) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def _dealt(documents: DataFrame, seed: int) -> DataFrame:
+    """One row per use with its place: a source's passes follow one another, evenly over the mix. Each pass has a
+    permutation of its own; the last one is that in which its budget was cut."""
+    uses = documents.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    within = F.when(F.col("copy") > F.col("passes"), F.col("key")).otherwise(_unit(seed, "copy", "source", "doc_id"))
+    at = F.least((F.col("copy") - 1 + within) / F.col("span"), F.lit(1 - 1e-12))
+    total = documents.agg(F.sum("copies")).first()[0] or 0
+    uses = uses.withColumn("at", at).withColumn("block", F.floor(F.col("at") * max(1, math.ceil(total / ROWS_PER_BLOCK))).cast("int"))
+    place = F.row_number().over(W.partitionBy("block").orderBy("at", "source", "doc_id", "copy"))
+    return uses.select("source", "doc_id", "n_tokens", "copy", "block", place.alias("place"))
 
 
 def mix_sources(docs: DataFrame, targets: DataFrame, *, size: float | None = None, want_entropy: float | None = None, seed: int = 17, path: str = VOCABULARY) -> Mix:
@@ -118,12 +141,11 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, size: float | None = Non
         budget = min(weights[s] * tokens, float(total * rows[s].max_repeats))
         passes = min(int(budget // total), rows[s].max_repeats)
         rest = 0.0 if passes == rows[s].max_repeats else budget - passes * total
-        plan.append((s, passes, rest, max(1, math.ceil(n / ROWS_PER_BLOCK))))
-    plan_df = spark.createDataFrame(plan, "source string, passes int, rest double, blocks int")
+        plan.append((s, passes, rest, total, max(1, math.ceil(n / ROWS_PER_BLOCK))))
+    plan_df = spark.createDataFrame(plan, "source string, passes int, rest double, total bigint, blocks int")
 
     # One permutation per source; (block, key) is its order.
-    unit = F.pmod(F.xxhash64(F.lit(seed), "source", "doc_id"), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    placed = counted.join(F.broadcast(plan_df), "source").withColumn("key", unit)  # one row per source, counted above
+    placed = counted.join(F.broadcast(plan_df), "source").withColumn("key", _unit(seed, "source", "doc_id"))  # one row per source, counted above
     placed = placed.withColumn("block", F.floor(F.col("key") * F.col("blocks")).cast("int"))
     blocks = placed.groupBy("source", "block").agg(F.sum("n_tokens").alias("size"))
     # Sums before each block: the block table is one row per 4,096 documents, and its sums are taken in two levels.
@@ -142,7 +164,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, size: float | None = Non
     ends = ends.withColumn("extra", F.when(F.col("at") + F.col("n_tokens") / 2 <= F.col("rest"), 1).otherwise(0)).drop("at")
     rest = placed.where(~cut).withColumn("extra", F.when(whole, 1).otherwise(0))
     copies = (F.col("passes") + F.col("extra")).cast("int")
-    documents = materialise(ends.unionByName(rest).select("source", "doc_id", "n_tokens", copies.alias("copies"), "block").where("copies > 0"))
+    span = F.col("passes") + F.col("rest") / F.col("total")
+    documents = materialise(ends.unionByName(rest).select("source", "doc_id", "n_tokens", copies.alias("copies"), "passes", "key", span.alias("span")).where("copies > 0"))
+    order = _dealt(documents, seed)
+    documents = documents.drop("passes", "key", "span")
 
     actual = documents.groupBy("source").agg(
         F.count("*").alias("documents"), F.sum(F.col("n_tokens") * F.col("copies")).alias("tokens"), F.max("copies").cast("int").alias("most_copies")
@@ -157,4 +182,4 @@ def mix_sources(docs: DataFrame, targets: DataFrame, *, size: float | None = Non
         F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.coalesce(F.col("tokens") / F.lit(float(all_tokens)), F.lit(0.0)).alias("actual_share"),
     )
-    return Mix(documents, shares, exponent, tokens)
+    return Mix(documents, order, shares, exponent, tokens)

@@ -10,11 +10,12 @@ from geoloom.llm.canon import canon_entries, map_places
 from geoloom.llm.chunking import LIMIT, piece_table, split_documents, split_files, write_files
 from geoloom.llm.entity import match_entities
 from geoloom.llm.leaks import LEAST_RUN, find_leaks
-from geoloom.llm.mixing import mix_sources
+from geoloom.llm.mixing import Mix, mix_sources
 from geoloom.llm.neighbours import nearest_of_queries, similar_vectors
 from geoloom.operators.hierarchy import clean_key
 from geoloom.util import table
 
+WANT_ENTROPY = 1.7  # nats
 CANON_KEYS = ("addr:city", "brand", "operator")
 
 
@@ -83,13 +84,24 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return mix.documents
+    """The mix in its order, at the largest size at which each source has its target share within its limit."""
+    return mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).order
+
+
+def _report(mix: Mix) -> DataFrame:
+    return mix.shares.select(
+        "source", "target_share", "max_repeats", F.round("weight", 6).alias("weight"), "documents", "tokens", "most_copies", F.round("actual_share", 6).alias("actual_share"),
+        F.lit(round(mix.exponent, 6)).alias("exponent"),
+    )
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mix = mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return mix.shares.select("source", "target_share", "max_repeats", F.round("weight", 6).alias("weight"), "documents", "tokens", "most_copies", F.round("actual_share", 6).alias("actual_share"))
+    return _report(mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")))
+
+
+def p9_tempered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of a mix between the sources' sizes and their targets: the exponent is bisected to a wanted entropy."""
+    return _report(mix_sources(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), want_entropy=WANT_ENTROPY))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +120,7 @@ def p10_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_files(files, range_bytes=16 << 10).join(files, "path").drop("path", "text_tokens", "longest_run")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p8_found, p8_leaks, p9_mix, p9_shares, p10_found, p10_pieces, p10_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_values, p2_found, p2_topk, p5_found, p5_matches, p8_found, p8_leaks, p9_mix, p9_shares, p9_tempered, p10_found, p10_pieces, p10_files)}
 ORACLES: dict = {
     "p2_topk": """WITH v AS (SELECT id, any_value(osm_id) AS osm_id, any_value(embedding)::DOUBLE[] AS e FROM geo_places WHERE len(embedding) > 0 AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0 GROUP BY id),
 s AS (SELECT a.id, b.id AS other, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.osm_id % 20 = 0 AND a.id <> b.id)
