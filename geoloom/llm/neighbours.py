@@ -22,6 +22,7 @@ from geoloom.util import forget, materialise
 
 CURVES, DIMS, BITS, WINDOW = 8, 24, 2, 48
 QUERY_BLOCK_MB = 64
+RANGE_BYTES = 32_000_000  # of a range of the curves
 CROWD, CROWD_MARGIN = 16, 0.15  # so many rows of a window this little below `least`: the window may be too small
 _PAIR, _CROWDED = -2, -3  # marks of rows that are pairs, and of rows in a crowd, among rows of partitions' edges
 _GOOD = "vec is not null and size(vec) > 0 and forall(vec, v -> v is not null and not isnan(v) and abs(v) < 1e30) and exists(vec, v -> v != 0)"
@@ -65,23 +66,31 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def encode(vectors: pd.Series) -> list[bytes]:
-    """Vectors as bytes without loss: in half precision where that holds every component, else in single."""
-    out = []
-    for v in vectors:
-        x = np.asarray(v, np.float32)
-        with np.errstate(over="ignore"):
-            half = x.astype(np.float16)
-        out.append(half.tobytes() if np.array_equal(half.astype(np.float32), x) else x.tobytes())
-    return out
+def encode(vectors: pd.Series | np.ndarray) -> list[bytes]:
+    """Vectors of one length as bytes without loss: in half precision where that holds every component, else in single."""
+    x = np.stack(list(vectors)).astype(np.float32) if len(vectors) else np.zeros((0, 1), np.float32)
+    with np.errstate(over="ignore"):
+        half = x.astype(np.float16)
+    small = (half.astype(np.float32) == x).all(1)
+    width = 2 * x.shape[1]
+    packed, full = half.tobytes(), x.tobytes()
+    return [packed[k * width : (k + 1) * width] if s else full[2 * k * width : 2 * (k + 1) * width] for k, s in enumerate(small.tolist())]
 
 
 def decode(codes: pd.Series, width: int) -> np.ndarray:
     """The vectors of `encode`, as rows."""
     raw = list(codes)
-    if all(len(c) == 2 * width for c in raw):
-        return np.frombuffer(b"".join(raw), np.float16).reshape(len(raw), width).astype(np.float32)
-    return np.stack([np.frombuffer(c, np.float16 if len(c) == 2 * width else np.float32).astype(np.float32) for c in raw])
+    if not raw:
+        return np.zeros((0, width), np.float32)
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    small = size == 2 * width
+    out = np.empty((len(raw), width), np.float32)
+    for pick, kind in ((small, np.float16), (~small, np.float32)):
+        where = np.flatnonzero(pick)
+        if len(where):
+            some = raw if len(where) == len(raw) else [raw[k] for k in where]
+            out[where] = np.frombuffer(b"".join(some), kind).reshape(len(where), width)
+    return out
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -196,8 +205,10 @@ def _others(names: np.ndarray, a: np.ndarray, b: np.ndarray, s: np.ndarray) -> t
 
 
 def _best_per_row(a: np.ndarray, b: np.ndarray, s: np.ndarray, keep: int) -> np.ndarray:
-    """Positions of the `keep` highest pairs of each row, either end counting as the row."""
-    ends, other, val, pos = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((s, s)), np.tile(np.arange(len(a)), 2)
+    """Positions of the `keep` highest pairs of each row, either end counting as the row; a pair counts once."""
+    first = np.unique(np.minimum(a, b) * np.int64(max(a.max(initial=0), b.max(initial=0)) + 1) + np.maximum(a, b), return_index=True)[1]
+    a, b, s = a[first], b[first], s[first]
+    ends, other, val, pos = np.concatenate((a, b)), np.concatenate((b, a)), np.concatenate((s, s)), np.tile(first, 2)
     order = np.lexsort((other, -val, ends))
     ends = ends[order]
     start = np.concatenate(([True], ends[1:] != ends[:-1])) if len(ends) else np.zeros(0, bool)
@@ -257,7 +268,9 @@ def similar_vectors(
     placed = materialise(searched.mapInPandas(keyed, f"key {key_type}, code binary, keys array<bigint>"))
     forget(base)
     ordered = placed.select("key", "code", F.posexplode("keys").alias("curve", "at"))
-    ordered = ordered.repartitionByRange("curve", "at", "key").sortWithinPartitions("curve", "at", "key").select("key", "code")
+    # As many ranges as the rows of all curves need, so that no task grows with the input.
+    ranges = max(df.sparkSession.sparkContext.defaultParallelism, -(-placed.count() * curves * (2 * width + 64) // RANGE_BYTES))
+    ordered = ordered.repartitionByRange(ranges, "curve", "at", "key").sortWithinPartitions("curve", "at", "key").select("key", "code")
     keep = k + 3
     floor_ = None if least is None else least - 1e-4  # single precision against double
     crowd_floor = (0.95 if least is None else least) - CROWD_MARGIN

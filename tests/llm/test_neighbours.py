@@ -79,3 +79,14 @@ def test_large_group_of_near_copies(spark):
     df = spark.createDataFrame(rows, "key string, v array<float>")
     got = {(r.key_a, r.key_b) for r in N.similar_vectors(df, "key", "v", k=5, least=0.95).collect()}
     assert got == exact(rows, 5, 0.95)
+
+
+def test_groups_larger_than_k_keep_their_best_without_a_threshold(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((900, 32))
+    for g in range(20):
+        x[g * 9 : g * 9 + 9] = x[g * 9] + 0.12 * rng.standard_normal((9, 32))
+    rows = [(f"k{i:05}", [float(v) for v in row]) for i, row in enumerate(x)]
+    got = N.similar_vectors(spark.createDataFrame(rows, "key string, v array<float>"), "key", "v", k=5).collect()
+    want = {p for p in exact(rows, 5, 0.9)}
+    assert len({(r.key_a, r.key_b) for r in got} & want) >= 0.99 * len(want) > 800
