@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 MAX_ENTRIES = 200_000
 
-# Filler around a name, as phrases of normalised tokens.
+# Words that stand around the names of towns and firms without being part of them (legal forms, parts of a
+# town, courtesies), as phrases of normalised tokens; the default of the parameter `filler`.
 FILLER = (
     "the", "inc", "ltd co", "llc", "gmbh", "express", "city", "city of", "town of", "greater", "downtown", "old town",
     "lower ward", "upper ward", "east division", "west division", "north division", "south division", "public",
@@ -65,15 +66,12 @@ def fold(text: str) -> str:
     return text.replace("rn", "m").replace("vv", "w")
 
 
-_FILLER = {fold(x) for x in FILLER} | set(FILLER)
-
-
-def _phrases(words: list[str]) -> list[str]:
+def _phrases(words: list[str], filler: frozenset[str]) -> list[str]:
     """`words` without filler phrases and bare numbers (none if nothing else is there)."""
     kept, i = [], 0
     while i < len(words):
         for size in (2, 1):
-            if len(words) >= i + size and " ".join(words[i : i + size]) in _FILLER:
+            if len(words) >= i + size and " ".join(words[i : i + size]) in filler:
                 i += size
                 break
         else:
@@ -116,9 +114,11 @@ def edit_distance(a: list[str], b: list[str]) -> np.ndarray:
 class Canon:
     """The entries of one key, ready for matching."""
 
-    def __init__(self, entries: list[tuple[int, str, list[str]]]):
+    def __init__(self, entries: list[tuple[int, str, list[str]]], filler: tuple[str, ...] = FILLER):
         import ahocorasick
 
+        self.filler = frozenset(filler) | {fold(x) for x in filler}
+
         words = Counter(w for _, name, _ in entries for w in set(expand(tokens_of(name))))
         self.generic = {w for w, n in words.items() if n >= max(3, len(entries) // 100)}
         self.exact: dict[str, int] = {}
@@ -135,12 +135,40 @@ class Canon:
         self.automaton = automaton
         if len(automaton):
             automaton.make_automaton()
+        # By length, so that the forms of a fitting length are one range.
+        self.forms.sort(key=lambda f: (len(f[0]), f))
+        self.size = np.array([len(f[0]) for f in self.forms], np.int64)
+        self.limit = np.array([allowed_edits(n) for n in self.size.tolist()], np.int64)
         grams: dict[str, list[int]] = defaultdict(list)
         for k, (plain, _, _) in enumerate(self.forms):
-            for g in {plain[i : i + 2] for i in range(len(plain) - 1)}:
+            for g in letter_pairs(plain):
                 grams[g].append(k)
         self.grams = {g: np.array(v) for g, v in grams.items()}
-        self.size = np.array([len(f[0]) for f in self.forms], np.int64)
+        self.alike = np.array([f[0].count("rn") + f[0].count("vv") for f in self.forms], np.int64)
+        self.letters = np.stack([letter_counts(f[0]) for f in self.forms]) if self.forms else np.zeros((0, LETTERS), np.int16)
+
+    def near(self, words: tuple[str, ...]) -> np.ndarray:
+        """Forms that may be within the edits allowed of `words`, none of which is lost.
+
+        Of P letter pairs at least P - 3 e - w are shared over e edits (one pair is lost per seam of the w words), so if
+        that is above 0 one of the others' number plus one rarest pairs is; an edit changes at most two letters' counts.
+        """
+        text = "".join(words)
+        most = allowed_edits(len(text) + 4)
+        lo, hi = np.searchsorted(self.size, [len(text) - most, len(text) + most + 1])
+        pairs = letter_pairs(text)
+        least = len(pairs) - 3 * most - len(words)
+        if least > 0:
+            lists = sorted((self.grams[g] for g in pairs if g in self.grams), key=len)
+            lists = lists[: max(0, 3 * most + len(words) + 1 - (len(pairs) - len(lists)))]
+            near = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int64)
+            near = near[(near >= lo) & (near < hi)]
+        else:
+            near = np.arange(lo, hi)
+        near = near[np.abs(self.size[near] - len(text)) <= self.limit[near]]
+        # Look-alike letters are compared as one, each of which may stand for two.
+        slack = 2 * self.limit[near] + 3 * (text.count("rn") + text.count("vv") + self.alike[near])
+        return near[np.abs(self.letters[near] - letter_counts(text)).sum(1) <= slack]
 
     def mention(self, words: list[str]) -> int | None:
         """The entry of the longest non-overlapping mention if the rest of the value is filler."""
@@ -158,7 +186,18 @@ class Canon:
         for start, end, _ in sorted(taken, reverse=True):
             rest = rest[: start + 1] + rest[end:]
         ids = {self.exact[key] for _, _, key in taken}
-        return ids.pop() if len(ids) == 1 and not _phrases(rest.split()) else None
+        return ids.pop() if len(ids) == 1 and not _phrases(rest.split(), self.filler) else None
+
+
+LETTERS = 32  # classes that letters are counted in
+
+
+def letter_pairs(text: str) -> set[str]:
+    return {text[i : i + 2] for i in range(len(text) - 1)}
+
+
+def letter_counts(text: str) -> np.ndarray:
+    return np.bincount(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) % LETTERS, minlength=LETTERS).astype(np.int16)
 
 
 def allowed_edits(size: int) -> int:
@@ -183,19 +222,11 @@ def match_values(values: list[str], canon: Canon) -> list[tuple[int, float, str]
                 left.append((k, raw))
     if not left or not canon.forms:
         return out
-    limits = np.array([allowed_edits(n) for n in canon.size.tolist()])
+    limits = canon.limit
     pair_k, pair_f, pair_w = [], [], []
     for k, raw in left:
-        for words in {tuple(raw), tuple(expand(raw)), tuple(_phrases(expand(_phrases(raw))))}:
-            text = "".join(words)
-            pairs = {text[i : i + 2] for i in range(len(text) - 1)}
-            share = np.zeros(len(canon.forms), np.int64)
-            for g in pairs:
-                if (hit := canon.grams.get(g)) is not None:
-                    share[hit] += 1
-            # An edit changes at most three pairs of letters, and a swapped word order one pair per seam.
-            near = (np.abs(canon.size - len(text)) <= limits) & (share >= len(pairs) - 3 * limits - len(words))
-            for f in np.flatnonzero(near).tolist():
+        for words in {tuple(raw), tuple(expand(raw)), tuple(_phrases(expand(_phrases(raw, canon.filler)), canon.filler))}:
+            for f in canon.near(words).tolist():
                 pair_k.append(k), pair_f.append(f), pair_w.append(words)
     forms = [canon.forms[f] for f in pair_f]
     d = np.minimum.reduce([
@@ -237,12 +268,13 @@ def canon_entries(canon: DataFrame) -> dict[str, list[tuple[int, str, list[str]]
     return dict(out)
 
 
-def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
+def map_values(values: DataFrame, canon: DataFrame, filler: tuple[str, ...] = FILLER) -> DataFrame:
     """(tag_key, value, value_id, similarity, how) for each distinct (tag_key, value) of `values`.
 
     `value_id` is -1 for unmatched values: blank ones, ones far from every entry, and all values of keys without
     entries. `how` is 'same' (equal after normalisation), 'mention', 'similar' or 'none'. Null values and keys are
-    left out; ties go to the smaller entry id. Columns besides the two are ignored.
+    left out; ties go to the smaller entry id. `filler` are phrases of normalised tokens that may stand beside a
+    mention. Columns besides the two are ignored.
     """
     entries = canon_entries(canon)
     built: dict[str, Canon] = {}
@@ -251,11 +283,13 @@ def map_values(values: DataFrame, canon: DataFrame) -> DataFrame:
         for batch in batches:
             for key, part in batch.groupby("tag_key", sort=False):
                 if key not in built:
-                    built[key] = Canon(entries.get(key, []))
+                    built[key] = Canon(entries.get(key, []), filler)
                 found = match_values(part["value"].tolist(), built[key])
                 yield pd.DataFrame({"tag_key": key, "value": part["value"].to_numpy(), "value_id": [f[0] for f in found], "similarity": [f[1] for f in found], "how": [f[2] for f in found]})
 
     distinct = values.where("tag_key is not null and value is not null").select("tag_key", "value").distinct()
+    # The rows are few and small for the work they stand for; they would be put together in few tasks.
+    distinct = distinct.repartition(values.sparkSession.sparkContext.defaultParallelism)
     return distinct.mapInPandas(run, "tag_key string, value string, value_id int, similarity double, how string")
 
 
@@ -266,11 +300,11 @@ def typed_values(places: DataFrame, canon: DataFrame, keys: tuple[str, ...]) ->
     return typed.join(canon.select("tag_key", F.col("canonical").alias("value")), ["tag_key", "value"], "left_anti")
 
 
-def map_places(places: DataFrame, canon: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def map_places(places: DataFrame, canon: DataFrame, keys: tuple[str, ...], filler: tuple[str, ...] = FILLER) -> DataFrame:
     """(id, tag_key, value, value_id, similarity, how) of every typed value, unmatched ones with -1.
 
     Each distinct value is matched once; a value that a third of all places share is one row there, and the join back
     is an inner join that adaptive execution splits where it is skewed.
     """
     typed = typed_values(places, canon, keys)
-    return typed.join(map_values(typed, canon), ["tag_key", "value"]).select("id", "tag_key", "value", "value_id", "similarity", "how")
+    return typed.join(map_values(typed, canon, filler), ["tag_key", "value"]).select("id", "tag_key", "value", "value_id", "similarity", "how")
