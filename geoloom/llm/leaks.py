@@ -256,10 +256,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, lea
         own[k, : len(p)] = p
     target = _project(own, idf, basis)
     target /= np.maximum(np.linalg.norm(target, axis=1, keepdims=True), 1e-9)
-    # A passage with a leaked stretch weighs at least as much as the lightest such stretch of any item.
-    mass = idf.astype(np.float64) ** 2
-    light = min(float(np.convolve(mass[w], np.ones(min(len(w), least_run)), "valid").min()) for w in held.words) * 0.999
-
     item_words = [np.unique(w) for w in held.words]
     item_counts = [np.bincount(w, minlength=held.size)[u] for w, u in zip(held.words, item_words)]
 
@@ -272,9 +268,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, lea
                 if not len(words):
                     continue
                 starts = windows(len(words))
-                total = np.concatenate(([0.0], np.cumsum(mass[words])))
-                heavy = total[np.minimum(starts + PASSAGE, len(words))] - total[starts] >= light
-                starts = starts[heavy]
+                total = np.concatenate(([0], np.cumsum(words != 0)))
+                starts = starts[total[np.minimum(starts + PASSAGE, len(words))] > total[starts]]  # else its cosine is 0
                 if not len(starts):
                     continue
                 near: dict[int, tuple[float, int, int]] = {}

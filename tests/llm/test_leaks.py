@@ -81,6 +81,26 @@ def test_answer_and_paraphrase(spark):
     assert rows and rows[0].answer and rows[0].run < 12 and rows[0].subsequence >= 0.7 * rows[0].item_words
 
 
+def test_recall_of_planted_paraphrases(spark):
+    rnd = random.Random(23)
+    rows, planted = [], set()
+    for d in range(150):
+        text = [rnd.choice(OTHER) for _ in range(rnd.randrange(5, 400))]
+        item = rnd.choice([i for i in ITEMS if len(i[1].split()) >= 30])
+        told = []
+        for w in item[1].rstrip(".").split():
+            told += [rnd.choice(OTHER)] if rnd.random() < 0.25 else [w]
+            told += [rnd.choice(OTHER)] * (rnd.random() < 0.25)  # spread out by words in between
+        at = rnd.randrange(len(text) + 1)
+        text[at:at] = told
+        rows.append((d, " ".join(text)))
+        planted.add((d, item[0], len(item[1].split())))
+    found = L.find_leaks(spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, item_text string, answer string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len({(d, i) for d, i, _ in planted} & got) >= 0.95 * len(planted)
+    assert sum(r.run < L.LEAST_RUN for r in found) > 50
+
+
 def test_empty(spark):
     d, i = spark.createDataFrame([], "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, item_text string, answer string")
     assert L.find_leaks(d, i).count() == 0
