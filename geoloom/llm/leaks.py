@@ -228,6 +228,11 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(prev[-1])
 
 
+def _has_run(at: np.ndarray, size: int) -> bool:
+    """Whether `size` of the sorted positions stand in a row."""
+    return len(at) >= size and bool((at[size - 1 :] - at[: len(at) - size + 1] == size - 1).any())
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, least_run: int = LEAST_RUN) -> DataFrame:
     """(doc_id, item_id, run, subsequence, item_words, answer, cosine) of `docs` (doc_id, text) and `items` (item_id,
     item_text, answer): candidates by latent cosine with what the checks found.
@@ -272,17 +277,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, lea
                 starts = starts[total[np.minimum(starts + PASSAGE, len(words))] > total[starts]]  # else its cosine is 0
                 if not len(starts):
                     continue
-                near: dict[int, tuple[float, int, int]] = {}
+                seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for s in range(0, len(starts), 2048):
                     at = starts[s : s + 2048]
                     v = _project(_padded(words, at), idf, basis)
                     v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
                     sim = v @ target.T
-                    for i, j in zip(*np.nonzero(sim >= cosine)):
-                        k = int(held.owner[j])
-                        c, low, high = near.get(k, (0.0, 1 << 60, 0))
-                        near[k] = (max(c, float(sim[i, j])), min(low, int(at[i])), max(high, int(at[i]) + PASSAGE))
-                for k, (c, low, high) in near.items():
+                    hot = np.flatnonzero(sim.max(1) >= cosine)  # few rows, and far quicker than to test each value
+                    i, j = np.nonzero(sim[hot] >= cosine)
+                    seen.append((held.owner[j], at[hot[i]], sim[hot[i], j]))
+                owner, where, found = (np.concatenate(x) for x in zip(*seen))
+                order = np.argsort(owner, kind="stable")
+                owner, where, found = owner[order], where[order], found[order]
+                heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))) if len(owner) else []
+                ends = [*heads[1:], len(owner)]
+                for h, e in zip(heads, ends):
+                    k, c, low, high = int(owner[h]), float(found[h:e].max()), int(where[h:e].min()), int(where[h:e].max()) + PASSAGE
                     item = held.words[k]
                     if k not in members:
                         if len(members) > 256:
@@ -292,13 +302,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, cosine: float = COSINE, lea
                     part = words[max(0, low - len(item)) : high + len(item)]
                     # Bounds of either check: a common stretch lies within a run of the item's own words, and a
                     # common subsequence takes each word no more often than both sides have it.
-                    have = np.bincount(part, minlength=held.size)
-                    most = int(np.minimum(have[item_words[k]], item_counts[k]).sum())
-                    hit = np.flatnonzero(members[k][part])
-                    breaks = np.flatnonzero(np.diff(hit) != 1)
-                    dense = np.diff(np.concatenate(([-1], breaks, [len(hit) - 1]))).max() if len(hit) else 0
-                    if dense < least_run and most < len(item) / 2:
+                    own_words = members[k][part]
+                    half = len(item) / 2
+                    if np.count_nonzero(own_words) < min(least_run, half):
                         continue
+                    hit = np.flatnonzero(own_words)
+                    if not _has_run(hit, least_run):
+                        if len(hit) < half:
+                            continue
+                        have = np.bincount(part[hit], minlength=held.size)
+                        if np.minimum(have[item_words[k]], item_counts[k]).sum() < half:
+                            continue
                     stretch = longest_run(part[hit[0] : hit[-1] + 1], item)
                     order = common_subsequence(part[hit], item)
                     if stretch < least_run and order < len(item) / 2:
