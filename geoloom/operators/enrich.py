@@ -71,14 +71,22 @@ def parent_context(places: DataFrame) -> DataFrame:
 def road_crossings(roads: DataFrame, cell_deg: float = 0.002) -> DataFrame:
     """(lon, lat, name, names) of the points where lines of different names meet, snapped to 1e-5 degrees.
 
-    `roads` is (id, name, line) with a line as array of struct(lon, lat). Segments meet in grid cells they pass
-    through, so the join is by equality; a point where more than two names meet comes out once with all of them.
+    `roads` is (id, name, line) with a line as array of struct(lon, lat). Segments meet in the grid cells that they pass
+    through (of each column the rows between where they enter and leave it, so a long slanting segment takes as many
+    cells as it is long); the join is by equality. A point where more than two names meet comes out once with all of
+    them.
     """
     segments = roads.where("name is not null and size(line) > 1").select(
         "name", F.explode(F.transform(F.sequence(F.lit(1), F.size("line") - 1), lambda i: F.struct(F.get("line", i - 1).alias("p"), F.get("line", i).alias("q")))).alias("s")
     ).select("name", F.col("s.p.lon").alias("x1"), F.col("s.p.lat").alias("y1"), F.col("s.q.lon").alias("x2"), F.col("s.q.lat").alias("y2"))
-    span = lambda a, b: F.sequence(F.floor(F.least(a, b) / cell_deg).cast("long"), F.floor(F.greatest(a, b) / cell_deg).cast("long"))
-    cells = segments.select("*", F.explode(span("x1", "x2")).alias("cx")).select("*", F.explode(span("y1", "y2")).alias("cy"))
+    row = lambda v: F.floor(v / cell_deg).cast("long")
+    columns = segments.select("*", F.explode(F.sequence(row(F.least("x1", "x2")), row(F.greatest("x1", "x2")))).alias("cx"))
+    # Heights at the column's two sides, a little beyond them so that rounding loses no cell.
+    slope = (F.col("y2") - F.col("y1")) / F.nullif(F.col("x2") - F.col("x1"), F.lit(0.0))
+    at = lambda x: F.col("y1") + (F.least(F.greatest(x, F.least("x1", "x2")), F.greatest("x1", "x2")) - F.col("x1")) * slope
+    sides = [F.coalesce(at((F.col("cx") + k) * cell_deg), c) for k, c in ((-1e-6, F.col("y1")), (1 + 1e-6, F.col("y2")))]
+    low, high = F.least(*sides) - 1e-9, F.greatest(*sides) + 1e-9
+    cells = columns.select("*", F.explode(F.sequence(row(low), row(high))).alias("cy"))
     other = cells.select(F.col("name").alias("name_b"), *[F.col(c).alias(c.replace("1", "3").replace("2", "4")) for c in ("x1", "y1", "x2", "y2")], "cx", "cy")
     pairs = cells.join(other, ["cx", "cy"]).where("name < name_b")
     d = (F.col("x2") - F.col("x1")) * (F.col("y4") - F.col("y3")) - (F.col("y2") - F.col("y1")) * (F.col("x4") - F.col("x3"))
@@ -101,8 +109,12 @@ def brand_catalogue(places: DataFrame) -> DataFrame:
         F.coalesce(qid, F.concat(F.lit("name:"), folded)).alias("brand_key"), qid.alias("wikidata"), F.col("tags")["brand"].alias("brand"),
         F.try_element_at("categories", F.lit(1)).alias("category"), at["lat"].alias("lat"), at["lon"].alias("lon"),
     )
-    # Two steps keep the state small: frequencies by value, then the most frequent.
-    return rows.groupBy("brand_key").agg(
-        F.mode("brand", True).alias("name"), F.max("wikidata").alias("wikidata"), F.count("*").cast("int").alias("location_count"),
-        F.mode("category", True).alias("category"), F.avg("lat").alias("rep_lat"), F.avg("lon").alias("rep_lon"),
-    ).where("location_count >= 2")
+    # Two steps keep the state of a brand small: frequencies of its values, then the most frequent.
+    total = rows.groupBy("brand_key").agg(F.max("wikidata").alias("wikidata"), F.count("*").cast("int").alias("location_count"), F.avg("lat").alias("rep_lat"), F.avg("lon").alias("rep_lon"))
+
+    def most(value: str, name: str) -> DataFrame:
+        counted = rows.where(F.col(value).isNotNull()).groupBy("brand_key", value).agg((-F.count("*")).alias("n"))
+        return counted.groupBy("brand_key").agg(F.min(F.struct("n", F.col(value).alias("v")))["v"].alias(name))
+
+    out = total.where("location_count >= 2").join(most("brand", "name"), "brand_key", "left").join(most("category", "category"), "brand_key", "left")
+    return out.select("brand_key", "name", "wikidata", "location_count", "category", "rep_lat", "rep_lon")

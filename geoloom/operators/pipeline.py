@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geoloom.operators.enrich import ROAD_CATEGORIES, parent_context, rings, road_crossings
@@ -11,13 +12,20 @@ from geoloom.sources import osm
 from geoloom.util import materialise
 
 
+def number_rows(rows: DataFrame, *order) -> DataFrame:
+    """`rows` with `n`, their place in the order from 1: counts of ranges before a row's, and its place within its own."""
+    placed = materialise(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
+    before = sizes.select("_range", (F.sum("_size").over(W.orderBy("_range")) - F.col("_size")).alias("_before"))  # one row per range
+    within = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return placed.withColumn("_within", within).join(before, "_range").withColumn("n", F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")
+
+
 def crossings_as_places(places: DataFrame) -> DataFrame:
     """Crossings of named roads as places of type X; ids count from north to south, then west to east."""
+    lines = F.explode(rings("geom")).alias("line")  # all parts of a line
     roads = places.where((F.col("geom_type") == "line") & F.arrays_overlap("categories", F.array(*[F.lit(c) for c in ROAD_CATEGORIES])))
-    points = road_crossings(roads.select("id", "name", F.get(rings("geom"), F.lit(0)).alias("line")))
-    ordered = points.repartitionByRange(F.desc("lat"), F.asc("lon")).sortWithinPartitions(F.desc("lat"), "lon")
-    kind = "lon double, lat double, name string, names array<string>, n long"
-    numbered = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)).toDF(kind)
+    numbered = number_rows(road_crossings(roads.select("id", "name", lines)), F.desc("lat"), F.asc("lon"))
     point = F.concat(F.lit("POINT("), "lon", F.lit(" "), "lat", F.lit(")"))
     given = {
         "id": F.concat(F.lit("intersection/"), "n"), "osm_type": F.lit("X"), "osm_id": F.col("n"), "name": F.col("name"), "names": F.col("names"), "categories": F.array(F.lit("highway/intersection")),

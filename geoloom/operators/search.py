@@ -1,4 +1,4 @@
-"""Hybrid place search: each layer is a branch of one plan; branches are merged by priority and ranked again."""
+"""Hybrid place search: one scan marks every layer a place answers in; layers are merged by priority and ranked again."""
 
 from __future__ import annotations
 
@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from geoloom.functions import text as txt
 from geoloom.functions.geo import DEG_M, haversine_m, in_box, line_m, planar_degrees, point_of, ring_contains, within_m
 from geoloom.operators.enrich import rings
+from geoloom.util import materialise
 
 # Fixed values of the ranking.
 CODE_RANK, ABBREV_RANK, FTS_BOOST, WORD_FLOOR, SIMILAR = 0.98, 0.90, 1.5, 0.5, 0.3
 DECAY_DEG, DECAY_M, UNKNOWN_M, WIDEN_DEG, POOL = 0.45, 50_000.0, 100_000.0, 1.35, 200
-NEAR_M = 10_000.0
+NEAR_M = 50_000.0  # of the box that autocompletion looks into
+LEAST_TEXT, LEAST_RETRY, LEAST_FEW = 2, 4, 5  # letters to complete, letters to look farther, hits below which vectors help
 
 
 def searchable(places: DataFrame) -> DataFrame:
@@ -79,6 +81,8 @@ class Request:
     limit: int = 20
     offset: int = 0
     autocomplete: bool = False
+    semantic: bool = False
+    vector: list[float] | None = None  # of the query, from the model that made the places' embeddings
     exclude: list[str] = field(default_factory=list)
 
     def __post_init__(self):
@@ -123,64 +127,100 @@ def browse(places: DataFrame, r: Request) -> DataFrame:
     return df.orderBy(*order, "id").offset(r.offset).limit(r.limit)
 
 
-def layers(places: DataFrame, r: Request) -> list[DataFrame]:
-    """The branches codes, abbreviation, words and likeness: (id, text_rank, priority, pos), each its own best."""
+def layers(places: DataFrame, r: Request, local: bool) -> DataFrame:
+    """(id, name, categories, lat, lon, priority, text_rank, pos): the best of the layers codes, abbreviation, words and
+    likeness (1 to 4). All layers are marked in one scan; what a layer costs is only computed where it is met.
+
+    With `local` words are looked for in a box around the point, nearest first, and likeness is left out.
+    """
     q = txt.sanitise_query(r.query)
     words = q.split()
     low = q.lower()
-    df = places.where(_filters(r))
     dist = F.round(planar_degrees("lat", "lon", r.lat, r.lon), 9) if r.lat is not None else F.lit(None).cast("double")
+    whole = txt.similarity("name", F.lit(q))
     sims = [txt.similarity("name", F.lit(w)) for w in words]
     best = F.greatest(*sims) if len(sims) > 1 else sims[0]
+    last = F.lit(float("inf"))
+    marks: list[Column] = []
 
-    def top(branch: DataFrame, rank: Column, order: list[Column], priority: int, n: int) -> DataFrame:
-        ranked = branch.withColumn("text_rank", rank).orderBy(*order, "id").limit(n)
-        pos = F.row_number().over(W.orderBy(*order, "id"))  # over at most n rows
-        return ranked.withColumn("pos", pos).select("id", "text_rank", F.lit(priority).alias("priority"), "pos")
+    def layer(priority: int, hit: Column, rank: Column, *order: Column, name: Column | None = None) -> None:
+        keys = [F.coalesce(o.cast("double"), last) for o in order] + [F.lit(0.0)] * (2 - len(order))
+        entry = F.struct(F.lit(priority).alias("priority"), rank.cast("double").alias("text_rank"), keys[0].alias("o1"), keys[1].alias("o2"), (name if name is not None else F.lit("")).alias("o3"))
+        marks.append(F.when(F.coalesce(hit, F.lit(False)), entry))
 
-    local = r.autocomplete and r.lat is not None
-    out = []
     if len(q) <= 20:
-        out.append(top(df.where(F.array_contains("codes", low)), F.lit(CODE_RANK), [F.asc((F.col("geom_type") == "line").cast("int")), F.col("area_m2").desc_nulls_last()], 1, r.limit))
-        out.append(top(df.where(F.col("name_abbrev") == low), F.lit(ABBREV_RANK) * demotion(), [F.asc(dist) if r.lat is not None else F.asc("name")], 2, r.limit))
+        layer(1, F.array_contains("codes", low), F.lit(CODE_RANK), F.col("geom_type") == "line", -F.col("area_m2"))
+        layer(2, F.col("name_abbrev") == low, F.lit(ABBREV_RANK) * demotion(), *([dist] if r.lat is not None else []), name=None if r.lat is not None else F.coalesce("name", F.lit("")))
     floor_ = F.lit(WORD_FLOOR if len(words) > 1 else 0.0)
-    fts = df.where(all_words(F.col("ts"), q, r.autocomplete))
-    fts_rank = FTS_BOOST * F.greatest(F.coalesce(txt.similarity("name", F.lit(q)), F.lit(0.0)), F.coalesce(best, F.lit(0.0)), floor_) * demotion()
+    fts = all_words(F.col("ts"), q, r.autocomplete)
+    fts_rank = FTS_BOOST * F.greatest(F.coalesce(whole, F.lit(0.0)), F.coalesce(best, F.lit(0.0)), floor_) * demotion()
     if local:
         d = max(r.radius or 0, NEAR_M) / DEG_M
-        box = fts.where(in_box("lat", "lon", r.lat - d, r.lon - d, r.lat + d, r.lon + d))
-        out.append(top(box, fts_rank, [F.asc(dist)], 3, POOL))
+        layer(3, in_box("lat", "lon", r.lat - d, r.lon - d, r.lat + d, r.lon + d) & fts, fts_rank, dist)
     else:
-        decayed = F.round(F.col("text_rank") / (1 + F.coalesce(dist, F.lit(0.0)) / DECAY_DEG), 9)
-        out.append(top(fts, fts_rank, [F.desc(decayed)], 3, r.limit))
+        layer(3, fts, fts_rank, -F.round(fts_rank / (1 + F.coalesce(dist, F.lit(0.0)) / DECAY_DEG), 9))
         if len(q) > 4:
-            whole = txt.similarity("name", F.lit(q))
+            rank = whole * demotion()
             if len(words) > 1:
-                covered = sum((F.when((s > SIMILAR) | all_words(F.col("ts"), w), 1).otherwise(0) for s, w in zip(sims, words)), F.lit(0))
+                covered = sum((F.when((x > SIMILAR) | all_words(F.col("ts"), w), 1).otherwise(0) for x, w in zip(sims, words)), F.lit(0))
                 rank = best * (0.3 + 0.7 * covered / len(words)) * demotion()
-            else:
-                rank = whole * demotion()
-            like = df.where("name is not null").where(txt.like_filter("name", q, SIMILAR)).withColumn("_sim", whole).where(F.col("_sim") >= SIMILAR)
-            out.append(top(like, rank, [F.desc(F.round("_sim", 9))], 4, r.limit))
-    return out
+            like = F.col("name").isNotNull() & txt.like_filter("name", q, SIMILAR) & (whole >= SIMILAR)
+            layer(4, like, rank, -F.round(whole, 9))
+    shown = ["id", "name", "categories", "lat", "lon"]
+    marked = places.where(_filters(r)).select(*shown, F.explode(F.array_compact(F.array(*marks))).alias("m")).select(*shown, "m.*")
+    pos = F.row_number().over(W.partitionBy("priority").orderBy("o1", "o2", "o3", "id"))
+    most = max(POOL, r.limit) if local else r.limit
+    kept = marked.withColumn("pos", pos).where(F.col("pos") <= most)
+    return kept.where((F.col("pos") <= r.limit) | (F.lit(local) & (F.col("priority") == 3) & (F.col("pos") <= POOL))).select(*shown, "priority", "text_rank", "pos")
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """Each place once, where it comes first."""
+    rest = [c for c in rows.columns if c not in ("id", "priority", "pos")]
+    return rows.groupBy("id").agg(F.min(F.struct("priority", "pos", *rest)).alias("m")).select("id", "m.*")
+
+
+def alike(places: DataFrame, r: Request) -> DataFrame:
+    """The places whose `embedding` is nearest to the request's vector, as a layer of priority 5."""
+    v = F.array(*[F.lit(float(x)) for x in r.vector])
+    e = F.col("embedding").cast("array<double>")
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    norm = sum(float(x) ** 2 for x in r.vector) ** 0.5
+    usable = (F.size("embedding") == len(r.vector)) & F.exists("embedding", lambda x: x != 0)
+    rows = places.where(_filters(r)).where(usable).select("id", "name", "categories", "lat", "lon", (dot(e, v) / (F.sqrt(dot(e, e)) * norm)).alias("text_rank"))
+    order = [F.desc(F.round("text_rank", 9)), F.asc("id")]
+    pos = F.row_number().over(W.orderBy(*order))  # over at most twice the limit
+    return rows.orderBy(*order).limit(2 * r.limit).select("id", "name", "categories", "lat", "lon", F.lit(5).alias("priority"), "text_rank", pos.alias("pos"))
 
 
 def search(places: DataFrame, r: Request) -> DataFrame:
     """`places` (as from `searchable`) that answer the request, best first, with text_rank, distance_m and place.
 
-    Branches are merged by priority (codes, abbreviation, words, likeness), a place counts where it comes first, and
-    the best are ranked again by distance; code matches stay on top. An unknown distance, and one of exactly 0,
-    counts as 100 km. Ties go to the smaller id.
+    Layers are merged by priority (codes, abbreviation, words, likeness), a place counts where it comes first, and the
+    best are ranked again by distance; code matches stay on top. An unknown distance, and one of exactly 0, counts as
+    100 km. Ties go to the smaller id. Completion around a point looks nearby only, takes a pool of candidates into the
+    ranking and looks everywhere if nothing is there (from four letters on); texts of one letter complete to nothing.
+    With a query vector the nearest places by embedding fill up what is left where the texts gave few, or on request.
     """
-    if not txt.sanitise_query(r.query):
+    text = txt.sanitise_query(r.query)
+    if not text:
         return browse(places, r)
-    merged = None
-    for branch in layers(places, r):
-        merged = branch if merged is None else merged.unionByName(branch)
-    first = merged.groupBy("id").agg(F.min(F.struct("priority", "pos", "text_rank")).alias("m")).select("id", "m.*")
-    pool = first.orderBy("priority", "pos").limit(POOL if r.autocomplete and r.lat is not None else r.limit)
-    rows = places.select("id", "name", "categories", "lat", "lon").join(pool, "id")
-    rows = rows.withColumn("distance_m", _distance(r))
+    local = r.autocomplete and r.lat is not None
+    first = _firsts(layers(places, r, local))
+    if r.autocomplete and len(text) < LEAST_TEXT:
+        first = first.limit(0)
+    elif local and len(text) >= LEAST_RETRY and not txt.looks_like_address(r.query):
+        first = materialise(first)  # at most the pool
+        if first.isEmpty():
+            first = _firsts(layers(places, r, False).where("priority >= 3"))
+    most = POOL if local else r.limit
+    pool = first.orderBy("priority", "pos").limit(most)
+    if r.vector and not r.autocomplete:
+        far = alike(places, r).join(pool.select("id"), "id", "left_anti")
+        told = F.sum(F.when(F.col("priority") < 5, 1).otherwise(0)).over(W.partitionBy(F.lit(1)))  # over at most three times the limit
+        both = pool.unionByName(far).withColumn("_told", told)
+        pool = both.where((F.col("priority") < 5) | F.lit(r.semantic) | (F.col("_told") < min(LEAST_FEW, r.limit))).drop("_told").orderBy("priority", "pos").limit(most)
+    rows = pool.withColumn("distance_m", _distance(r))
     if r.line:
         decay = F.exp(-F.coalesce(F.nullif("distance_m", F.lit(0.0)), F.lit(r.buffer)) / (r.buffer / 3))
     elif r.lat is not None:
@@ -227,11 +267,11 @@ def address_roles(rows: DataFrame) -> DataFrame:
 def children_of(places: DataFrame, area_id: str, *, category: str | None = None, limit: int = 20, offset: int = 0, lat: float | None = None, lon: float | None = None) -> DataFrame:
     """Places within an area, named and categorised ones first, then by distance and name.
 
-    The area is one row, joined by its id; it is read where the plan runs, not by the driver.
+    The area's outline is a scalar subquery: it is read where the plan runs, and no join is needed.
     """
-    area = places.where((F.col("id") == area_id) & (F.col("geom_type") == "area")).select(F.col("geom").alias("around"), F.lit(1).alias("_one"))
-    df = places.where((F.col("id") != area_id) & F.col("tags")["building:part"].isNull()).withColumn("_one", F.lit(1)).join(area, "_one")
-    df = df.where(contains("around", F.col("lat"), F.col("lon")))
+    around = places.where((F.col("id") == area_id) & (F.col("geom_type") == "area")).agg(F.min("geom").alias("around"))
+    df = places.where((F.col("id") != area_id) & F.col("tags")["building:part"].isNull())
+    df = df.withColumn("around", around.scalar()).where(contains("around", F.col("lat"), F.col("lon")))
     if category:
         df = df.where(has_category(category))
     dist = F.round(planar_degrees("lat", "lon", lat, lon), 9) if lat is not None else F.lit(0.0)

@@ -9,7 +9,9 @@ from geoloom.functions import tags as tag
 from geoloom.functions import text as txt
 from geoloom.functions.geo import point_geojson, point_of
 from geoloom.operators.enrich import CONTEXT_CATEGORIES, ROAD_CATEGORIES, brand_catalogue, geometry_area_m2, newest, parent_context, rings, road_crossings
-from geoloom.util import table
+from geoloom.operators.pipeline import number_rows, store_places
+from geoloom.operators.search import searchable
+from geoloom.util import scratch, shared_dir, table
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -31,6 +33,23 @@ def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest(table(spark, sf_dir, "geo_places"))
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def stored_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search table: newest versions with coordinates and search words, in the order of a Z-curve. It is written
+    once per session and state of the input, into the shared folder; what is asked of a box reads its row groups only."""
+    rows = table(spark, sf_dir, "geo_places")
+    state = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/geo_places.parquet")
+    written = state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(state).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, written, shared_dir(spark))
+    if key not in _STORED:
+        path = scratch(spark, "places")
+        store_places(searchable(newest(rows)), path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])
+
+
 # The same rows in SQL, with coordinates.
 P = r"""p AS (
   SELECT * EXCLUDE (updated_at), TRY_CAST(regexp_extract(centroid, 'POINT *\( *([-0-9.]+) +([-0-9.]+)', 1) AS DOUBLE) AS lon,
@@ -250,13 +269,12 @@ def resolve_context(spark, sf_dir):
     return parent_context(places(spark, sf_dir))
 
 
-_ROADS = ", ".join(f"'{c}'" for c in ROAD_CATEGORIES)
-
-
-@query(r"""WITH %s, lines AS (SELECT id, name, regexp_extract(geom, '\(([^()]+)\)', 1) AS line FROM p WHERE geom_type = 'line' AND name IS NOT NULL),
-v AS (SELECT id, name, unnest(regexp_extract_all(line, '([-0-9.]+) +([-0-9.]+)', 1))::DOUBLE AS x, unnest(regexp_extract_all(line, '([-0-9.]+) +([-0-9.]+)', 2))::DOUBLE AS y,
-  generate_subscripts(regexp_extract_all(line, '([-0-9.]+) +([-0-9.]+)', 1), 1) AS i FROM lines),
-s AS (SELECT a.name, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM v a JOIN v b ON a.id = b.id AND b.i = a.i + 1),
+@query(r"""WITH k AS (SELECT s_suppkey AS k FROM supplier),
+lines AS (SELECT k AS id, CASE WHEN k % 2 = 0 THEN 'East ' ELSE 'North ' END || (k % 40) AS name, part,
+  CASE WHEN k % 2 = 0 THEN [[-55.4 + part * 0.02, 25 + k * 0.0007], [-55.39 + part * 0.02, 25.0004 + k * 0.0007], [-55.381 + part * 0.02, 25 + k * 0.0007]]
+  ELSE [[-55.4 + k * 0.0011 % 0.04, 25.0 + part * 0.03], [-55.3991 + k * 0.0011 % 0.04, 25.02 + part * 0.03]] END AS l FROM k, (SELECT unnest([0, 1]) AS part)),
+v AS (SELECT id, part, name, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM lines),
+s AS (SELECT a.name, a.p[1]::DOUBLE AS x1, a.p[2]::DOUBLE AS y1, b.p[1]::DOUBLE AS x2, b.p[2]::DOUBLE AS y2 FROM v a JOIN v b ON a.id = b.id AND a.part = b.part AND b.i = a.i + 1),
 m AS (SELECT a.name AS na, b.name AS nb, a.x1, a.y1, a.x2, a.y2,
   ((b.x1-a.x1)*(b.y2-b.y1)-(b.y1-a.y1)*(b.x2-b.x1))/((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1)) AS t,
   ((b.x1-a.x1)*(a.y2-a.y1)-(b.y1-a.y1)*(a.x2-a.x1))/((a.x2-a.x1)*(b.y2-b.y1)-(a.y2-a.y1)*(b.x2-b.x1)) AS u
@@ -264,14 +282,29 @@ m AS (SELECT a.name AS na, b.name AS nb, a.x1, a.y1, a.x2, a.y2,
 pt AS (SELECT na, nb, round(x1 + t*(x2-x1), 5) AS lon, round(y1 + t*(y2-y1), 5) AS lat FROM m WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1),
 n AS (SELECT lon, lat, na AS road FROM pt UNION SELECT lon, lat, nb FROM pt),
 g AS (SELECT lon, lat, string_agg(road, ' & ' ORDER BY road) AS name FROM n GROUP BY lon, lat)
-SELECT 'intersection/' || row_number() OVER (ORDER BY lat DESC, lon) AS id, lon, lat, name FROM g""" % P)
+SELECT 'intersection/' || row_number() OVER (ORDER BY lat DESC, lon) AS id, lon, lat, name FROM g""")
 def intersections_grid(spark, sf_dir):
-    """Crossings of all named lines, numbered from north to south (the tables' few roads seldom cross)."""
-    lines = places(spark, sf_dir).where("geom_type = 'line' and name is not null").select("id", "name", F.get(rings("geom"), F.lit(0)).alias("line"))
-    points = road_crossings(lines)
-    # The numbers come from a range-sorted order: counts before each partition, then positions within it.
-    ordered = points.select("lon", "lat", "name").repartitionByRange(F.desc("lat"), F.asc("lon")).sortWithinPartitions(F.desc("lat"), "lon")
-    numbered = ordered.rdd.zipWithIndex().map(lambda r: (*r[0], r[1] + 1)).toDF("lon double, lat double, name string, n long")
+    """Crossings of roads of two parts each, laid out from the suppliers' keys (the tables' own lines do not cross),
+    numbered from north to south."""
+    k = F.col("s_suppkey")
+
+    def wkt(parts: list[list[tuple]]):
+        text = [F.lit("MULTILINESTRING(")]
+        for n, part in enumerate(parts):
+            text.append(F.lit("," if n else ""))
+            for i, (x, y) in enumerate(part):
+                text += [F.lit(", " if i else "("), x.cast("double").cast("string"), F.lit(" "), y.cast("double").cast("string")]
+            text.append(F.lit(")"))
+        return F.concat(*text, F.lit(")"))
+
+    num = lambda v: F.lit(v).cast("decimal(18,6)")
+    up, off = num(25) + k * F.lit(0.0007).cast("decimal(18,6)"), (k * F.lit(0.0011).cast("decimal(18,6)")) % F.lit(0.04).cast("decimal(18,6)")
+    east = wkt([[(num(-55.4 + p * 0.02), up), (num(-55.39 + p * 0.02), up + num(0.0004)), (num(-55.381 + p * 0.02), up)] for p in (0, 1)])
+    north = wkt([[(num(-55.4) + off, num(25.0 + p * 0.03)), (num(-55.3991) + off, num(25.02 + p * 0.03))] for p in (0, 1)])
+    even = k % 2 == 0
+    roads = table(spark, sf_dir, "supplier").select(k.alias("id"), F.concat(F.when(even, "East ").otherwise("North "), (k % 40).cast("string")).alias("name"), F.when(even, east).otherwise(north).alias("geom"))
+    points = road_crossings(roads.select("id", "name", F.explode(rings("geom")).alias("line")))
+    numbered = number_rows(points.select("lon", "lat", "name"), F.desc("lat"), F.asc("lon"))
     return numbered.select(F.concat(F.lit("intersection/"), "n").alias("id"), "lon", "lat", "name")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from geoloom.functions import text as txt
 from geoloom.functions.geo import haversine_m
 from geoloom.operators import search as s
-from geoloom.plans.places import P, places, similarity_sql
+from geoloom.plans.places import P, places, similarity_sql, stored_places
 from geoloom.util import table
 
 QUERIES: dict = {}
@@ -28,7 +28,7 @@ def query(sql: str | None = None):
 
 
 def found(spark, sf_dir):
-    return s.searchable(places(spark, sf_dir))
+    return stored_places(spark, sf_dir)
 
 
 HAV = f"2*6371000.0*asin(least(1.0, sqrt(pow(sin(radians({LAT}-lat)/2),2)+cos(radians(lat))*cos(radians({LAT}))*pow(sin(radians(({LON})-lon)/2),2))))"
@@ -126,9 +126,9 @@ SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]
 def vector_knn(spark, sf_dir):
     """The ten rows nearest to one vector: a scan with a bounded heap per task."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    target = rows.where("vec_id = 0").select(F.col("v").alias("t"), F.lit(1).alias("one"))
+    target = rows.where("vec_id = 0").agg(F.first("v").alias("t")).scalar()
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-    both = rows.where("vec_id <> 0").withColumn("one", F.lit(1)).join(target, "one")
+    both = rows.where("vec_id <> 0").withColumn("t", target)
     d = 1 - dot("v", "t") / F.sqrt(dot("v", "v") * dot("t", "t"))
     return both.select("vec_id", d.alias("d")).orderBy(F.round("d", 9), "vec_id").limit(10).select("vec_id", F.round("d", 5).alias("distance"))
 
