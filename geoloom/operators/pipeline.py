@@ -67,10 +67,11 @@ def refresh_context(places: DataFrame, changed: DataFrame) -> DataFrame:
     return parent_context(few).join(touched, "id", "left_semi")
 
 
-def store_places(places: DataFrame, path: str, cell_deg: float = 0.05) -> None:
+def store_places(places: DataFrame, path: str, cell_deg: float = 0.05, partitions: int | None = None) -> None:
     """Writes places with `lat` and `lon` in the order of a Z-curve over grid cells, so that the row groups' statistics
     let a search in a box skip most of them. A range partition holds neighbouring cells only."""
     x, y = (F.floor((F.coalesce(c, F.lit(0.0)) + 360) / cell_deg).cast("long") for c in ("lon", "lat"))
     spread = lambda v: F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("long"), lambda s, b: s + F.getbit(v, b).cast("long") * F.pow(F.lit(4.0), b).cast("long"))
     ordered = places.withColumn("_z", spread(x) + 2 * spread(y))
-    ordered.repartitionByRange("_z").sortWithinPartitions("_z").drop("_z").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)
+    ranged = ordered.repartitionByRange(partitions, "_z") if partitions else ordered.repartitionByRange("_z")
+    ranged.sortWithinPartitions("_z").drop("_z").write.mode("overwrite").option("parquet.block.size", 16 << 20).parquet(path)

@@ -241,15 +241,20 @@ def coarsest_cell(stops: DataFrame, most: int, first: float = 0.0005, last: floa
 def reach_cells(stops: DataFrame, cell_deg: float, metres_per_s: float = 1.25) -> DataFrame:
     """The grid cells whose centre can be walked to from a stop in its `remaining` seconds: the union of all circles
     as a set of cells, so a larger budget always holds a smaller one."""
+    return reach_cells_by(stops.withColumn("_all", F.lit(0)), "_all", cell_deg, metres_per_s).drop("_all")
+
+
+def reach_cells_by(stops: DataFrame, group: str, cell_deg: float, metres_per_s: float = 1.25) -> DataFrame:
+    """`reach_cells` for each group of stops: (group, y, x)."""
     from geoloom.functions.geo import DEG_M
 
     r = F.col("remaining") * metres_per_s
     dy = F.ceil(r / DEG_M / cell_deg)
     dx = F.ceil(r / DEG_M / F.greatest(F.lit(0.01), F.cos(F.radians("lat"))) / cell_deg)
     y0, x0 = F.floor(F.col("lat") / cell_deg + 0.5), F.floor(F.col("lon") / cell_deg + 0.5)
-    rows = stops.select("lat", "lon", r.alias("r"), F.explode(F.sequence(y0 - dy, y0 + dy)).alias("y"), x0.alias("x0"), dx.alias("dx"))
-    rows = rows.select("lat", "lon", "r", "y", F.explode(F.sequence(F.col("x0") - F.col("dx"), F.col("x0") + F.col("dx"))).alias("x"))
-    return rows.where(haversine_m("lat", "lon", F.col("y") * cell_deg, F.col("x") * cell_deg) <= F.col("r")).select("y", "x").distinct()
+    rows = stops.select(group, "lat", "lon", r.alias("r"), F.explode(F.sequence(y0 - dy, y0 + dy)).alias("y"), x0.alias("x0"), dx.alias("dx"))
+    rows = rows.select(group, "lat", "lon", "r", "y", F.explode(F.sequence(F.col("x0") - F.col("dx"), F.col("x0") + F.col("dx"))).alias("x"))
+    return rows.where(haversine_m("lat", "lon", F.col("y") * cell_deg, F.col("x") * cell_deg) <= F.col("r")).select(group, "y", "x").distinct()
 
 
 def nearest_entrance(places: DataFrame, lat: float, lon: float, metres: float = 500.0, wheelchair: bool = False) -> DataFrame:

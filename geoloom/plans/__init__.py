@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("data", "places", "search", "transit", "usage", "streams", "composed")
+MODULES = ("data", "places", "search", "transit", "usage", "streams", "composed", "journeys")
 
 
 def collect(attribute: str) -> dict:

@@ -8,6 +8,8 @@ from geoloom.plans.transit import V
 from geoloom.streaming.run import append_all, file_stream, upsert_all
 from geoloom.streaming.stateful import previous_positions, suppress_repeats, windowed_counts
 
+LATE = "35 days"  # the table's files hold a month in no order, so nothing of it counts as late
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
@@ -28,7 +30,7 @@ def events(spark, sf_dir):
 
 @query("SELECT strftime(time_bucket(INTERVAL 60 MINUTE, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")
 def stream_usage_window(spark, sf_dir):
-    out = upsert_all(windowed_counts(events(spark, sf_dir), "60 minutes", "400 days"), ["w", "event_type"])
+    out = upsert_all(windowed_counts(events(spark, sf_dir), "60 minutes", LATE), ["w", "event_type"])
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
@@ -37,10 +39,10 @@ k AS (SELECT *, epoch_us(ts) - epoch_us(pt) <= 7200 * 1000000::BIGINT AND (lat <
 SELECT event_id, vehicle_id, round(lat, 4) AS lat, round(lon, 4) AS lon, CASE WHEN ok THEN round(pa, 4) END AS prev_lat, CASE WHEN ok THEN round(po, 4) END AS prev_lon FROM k""")
 def stream_prev_position(spark, sf_dir):
     e = events(spark, sf_dir).select(
-        "event_id", F.col("user_id").alias("vehicle_id"), F.unix_micros("ts").alias("us"),
+        "ts", "event_id", F.col("user_id").alias("vehicle_id"), F.unix_micros("ts").alias("us"),
         (F.lit(25.0) + F.floor("value") % 20 / 100).alias("lat"), (F.lit(-55.0) - F.floor(F.col("value") * 3) % 20 / 100).alias("lon"),
     )
-    out = append_all(previous_positions(e, ttl_s=7200))
+    out = append_all(previous_positions(e, ttl_s=7200, late=LATE))
     return out.select("event_id", "vehicle_id", *[F.round(c, 4).alias(c) for c in ("lat", "lon", "prev_lat", "prev_lon")])
 
 
@@ -49,8 +51,8 @@ w AS (SELECT user_id, event_type, event_id, i, ts, ts AS last, TRUE AS let FROM
  SELECT e.user_id, e.event_type, e.event_id, e.i, e.ts, CASE WHEN e.ts >= w.last + INTERVAL 6 HOUR THEN e.ts ELSE w.last END, e.ts >= w.last + INTERVAL 6 HOUR FROM w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.i = w.i + 1)
 SELECT user_id, event_type, event_id FROM w WHERE let""")
 def stream_dedup(spark, sf_dir):
-    e = events(spark, sf_dir).select("user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"))
-    return append_all(suppress_repeats(e, ["user_id", "event_type"], 6 * 3600)).select("user_id", "event_type", "event_id")
+    e = events(spark, sf_dir).select("ts", "user_id", "event_type", "event_id", F.unix_micros("ts").alias("us"))
+    return append_all(suppress_repeats(e, ["user_id", "event_type"], 6 * 3600, late=LATE)).select("user_id", "event_type", "event_id")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY 1")

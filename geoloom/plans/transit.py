@@ -377,9 +377,8 @@ def grid_coarsen(spark, sf_dir):
     return t.coarsest_cell(_budget(spark, sf_dir), 400)
 
 
-@query(f"""WITH {S}, {_BUDGET}, q AS (SELECT lat, lon, remaining * 1.25::DOUBLE AS m FROM r WHERE lat BETWEEN 25.0 AND 25.2 AND lon BETWEEN -55.4 AND -55.2),
-ce AS (SELECT DISTINCT y, x FROM (SELECT floor(lat / 0.002::DOUBLE + 0.5) + dy AS y, floor(lon / 0.002::DOUBLE + 0.5) + dx AS x, lat, lon, m FROM q, range(-8, 9) a(dy), range(-8, 9) b(dx)) WHERE {hav('lat', 'lon', 'y * 0.002', 'x * 0.002')} <= m) SELECT y::BIGINT AS y, x::BIGINT AS x FROM ce""")
+@query(f"""WITH {S}, {_BUDGET}, q AS (SELECT lat, lon, remaining * 1.25::DOUBLE AS m FROM r),
+ce AS (SELECT DISTINCT y, x FROM (SELECT floor(lat / 0.002::DOUBLE + 0.5) + dy AS y, floor(lon / 0.002::DOUBLE + 0.5) + dx AS x, lat, lon, m FROM q, range(-8, 9) a(dy), range(-9, 10) b(dx)) WHERE {hav('lat', 'lon', 'y * 0.002', 'x * 0.002')} <= m) SELECT y::BIGINT AS y, x::BIGINT AS x FROM ce""")
 def isochrone_cells(spark, sf_dir):
-    """What can be walked to from the stops of a box with the time they have left."""
-    rows = _budget(spark, sf_dir).where(F.col("lat").between(25.0, 25.2) & F.col("lon").between(-55.4, -55.2))
-    return t.reach_cells(rows, 0.002).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    """What can be walked to from the stops with the time they have left."""
+    return t.reach_cells(_budget(spark, sf_dir), 0.002).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
