@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
@@ -136,8 +137,10 @@ def boundary_table(text: str, start: int, stop: int, path: str, *, in_bytes: boo
 
 _TABLE = (
     "chars bigint, tokens bigint, cut_char array<bigint>, cut_token array<bigint>, strength array<int>, back_char array<bigint>, "
-    "back_token array<bigint>, head_char array<bigint>, head_strength array<int>, tail_char array<bigint>, tail_strength array<int>, most_run bigint"
+    "back_token array<bigint>, head_char array<bigint>, head_strength array<int>, tail_char array<bigint>, tail_strength array<int>, most_run bigint, "
+    "first_char array<bigint>, end_char array<bigint>, n_tokens array<bigint>, cut_strength array<int>"
 )
+_ROWS = ("cut_char", "cut_token", "strength", "back_char", "back_token", "head_char", "head_strength", "tail_char", "tail_strength")
 
 
 class Layout:
@@ -192,6 +195,14 @@ class Layout:
         return [(self.s_char, self.char, self.tok - self.s_tok, SECTION)] if self.tok > self.limit else []
 
 
+def _laid_out(table: dict, limit: int) -> dict:
+    """The table of a text in one range with the pieces in place of the boundaries, which nobody else needs."""
+    layout = Layout(limit)
+    pieces = layout.add(SimpleNamespace(**table)) + layout.end()
+    first, end, tokens, strength = zip(*pieces)
+    return table | dict.fromkeys(_ROWS, []) | {"first_char": first, "end_char": end, "n_tokens": tokens, "cut_strength": strength}
+
+
 def _stitched(tables: DataFrame, limit: int) -> DataFrame:
     """Pieces of each key from its ranges' tables, read in order; texts within the limit are left out."""
     names = ["key", "piece", "last", "first_char", "end_char", "n_tokens", "strength", "text_tokens", "longest_run"]
@@ -208,6 +219,14 @@ def _stitched(tables: DataFrame, limit: int) -> DataFrame:
                 if layout is None or r.key != key:
                     out += rows(layout.end(), True) if layout else []
                     key, layout, count = r.key, Layout(limit), 0
+                if r.first_char is not None:  # laid out already
+                    layout.tok, layout.longest = r.tokens, r.most_run
+                    done = list(zip(r.first_char, r.end_char, r.n_tokens, r.cut_strength))
+                    out += rows(done[:-1], False)
+                    count = len(done) - 1
+                    out += rows(done[-1:], True)
+                    layout = None
+                    continue
                 new = rows(layout.add(r), False)
                 out, count = out + new, count + len(new)
             if out:
@@ -231,6 +250,7 @@ def piece_table(docs: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
     most `limit` bytes cannot have more tokens and are not tokenized. Null and empty texts give no row.
     """
     key = docs.schema["key"].dataType.simpleString()
+    pieces_ = dict.fromkeys(("first_char", "end_char", "n_tokens", "cut_strength"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -242,8 +262,10 @@ def piece_table(docs: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
                     first, left = start == 0, max(0, start - HALO_CHARS)
                     alone = limit if first and stop < 0 else -1
                     table = boundary_table(text[left : end + HALO_CHARS], start - left, end - left, path, first=first, more=stop >= 0, alone=alone)
+                    if first and stop < 0 and table["tokens"] > limit:
+                        table = _laid_out(table, limit)
                     if table["tokens"] > alone:
-                        out.append({"key": k, "range_no": len(out)} | table)
+                        out.append({"key": k, "range_no": len(out)} | pieces_ | table)
                     start = stop
                 if out:
                     yield pd.DataFrame(out)
@@ -324,7 +346,11 @@ def split_files(files: DataFrame, *, limit: int = LIMIT, path: str = VOCABULARY,
                 left = _text_at(r.path, max(0, start - HALO_CHARS), start)
                 body, right = _text_at(r.path, start, stop), _text_at(r.path, stop, min(r.n, stop + HALO_CHARS))
                 table = boundary_table(left + body + right, len(left), len(left) + len(body), path, in_bytes=True, first=start == 0, more=stop < r.n)
-                yield pd.DataFrame([{"key": r.path, "range_no": r.range_no} | table])
+                if start == 0 and stop == r.n:
+                    if table["tokens"] <= limit:
+                        continue
+                    table = _laid_out(table, limit)
+                yield pd.DataFrame([{"key": r.path, "range_no": r.range_no} | dict.fromkeys(("first_char", "end_char", "n_tokens", "cut_strength")) | table])
 
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
