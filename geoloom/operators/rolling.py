@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geoloom.util import materialise
+
 ENTITIES_PER_BLOCK = 1024
 DAYS_PER_TILE = 64
 
@@ -56,6 +58,7 @@ def rolling_totals(
     sums = daily.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).groupBy(
         F.col(entity).alias("_e"), F.datediff(F.col(day), F.lit(first)).alias("_d")
     ).agg(*[F.sum(F.coalesce(c, F.lit(0))).cast("long").alias(c) for c in values])
+    sums = materialise(sums)  # read three times below
     entities = sums.agg(F.approx_count_distinct("_e", 0.02)).first()[0]
     buckets = max(1, math.ceil(entities / ENTITIES_PER_BLOCK))
     # A day belongs to its own tile and, within reach of a later tile's start, also to that one; every entity is in
