@@ -1,8 +1,9 @@
 """Several values packed in one field: one row per value, with its position.
 
-The work is done on Arrow buffers: code points of a whole batch are classified at once, quote parity and escape
-parity come from prefix sums, separators outside quotes become child offsets, and the children are flattened with
-their parents' ordinals. Only fields with unbalanced or nested quotes go through a scalar reader of the same rules.
+The work is done on Arrow buffers: the value buffer of a whole batch is classified at once, quote parity and escape
+parity come from prefix sums, separators outside quotes become child offsets, the children's bytes are copied by these
+offsets into a new value buffer, and they are flattened with their parents' ordinals. Only fields with unbalanced or
+nested quotes, and values with escapes or inner quotes, go through a scalar reader of the same rules.
 """
 
 from __future__ import annotations
@@ -99,13 +100,17 @@ def read_packed(text: str) -> list[str]:
 def _batch_items(values: pa.Array) -> pa.ListArray:
     """The list of values of each field of a batch (null fields give empty lists)."""
     rows = len(values)
-    texts = values.fill_null("").to_pylist()
-    joined = "".join(texts)
-    cp = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    values = pa.concat_arrays([values.cast(pa.large_string())]).fill_null("")
+    span = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + rows + 1]
+    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[span[0] : span[-1]]
+    joined = data.tobytes().decode("utf-8")
+    cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
     n = len(cp)
-    length = np.fromiter(map(len, texts), np.int64, rows)
-    end = np.cumsum(length)
-    begin = end - length
+    # Where each character starts in the value buffer, and where each field ends in characters.
+    byte = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    end = np.searchsorted(byte, span[1:] - span[0])
+    begin = np.concatenate(([0], end[:-1])) if rows else end
+    length = end - begin
     if not n:
         return pa.ListArray.from_arrays(pa.array(np.zeros(rows + 1, np.int32)), pa.array([], pa.string()))
     seen, back = np.unique(cp, return_inverse=True)
@@ -164,24 +169,30 @@ def _batch_items(values: pa.Array) -> pa.ListArray:
     closed = np.where(quote[left], quote[right - 1], opens[left] & closes[right - 1])
     slow |= (special > 0) & ~((special == 2) & closed)
     simple = (special == 2) & ~slow
-    left2, right2 = left + simple, right - simple
-    items: list[str] = [joined[a:b] for a, b in zip(left2.tolist(), right2.tolist())]
-    for k in np.flatnonzero(simple):
-        items[k] = items[k].strip(" ")
-    for k in np.flatnonzero(slow):
-        one = read_packed(joined[left[k] : right[k]])
-        items[k] = one[0] if one else ""
-    child, owners = items, owner_full
-    if odd.any():
-        extra = [(r, item) for r in np.flatnonzero(odd) for item in read_packed(texts[r])]
-        owners = np.concatenate((owners, np.array([r for r, _ in extra], np.int64)))
-        child = child + [item for _, item in extra]
-        order = np.argsort(owners, kind="stable")
-        owners, child = owners[order], [child[k] for k in order]
-    keep = np.fromiter((bool(x) for x in child), bool, len(child))
-    counts = np.bincount(owners[keep], minlength=rows)
-    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array([x for x, k in zip(child, keep) if k], pa.string()))
+    # Within quotes, blanks at the ends go too.
+    left, right = left + simple, right - simple
+    left = np.minimum(next_full[left], right)
+    right = np.maximum(prev_full[right] + 1, left)
+    plain = ~slow & (right > left)
+    child, owners = _copied(data, byte[left[plain]], byte[right[plain]]), owner_full[plain]
+    extra = [(owner_full[k], left[k], item) for k in np.flatnonzero(slow) for item in read_packed(joined[left[k] : right[k]])[:1]]
+    extra += [(r, k, item) for r in np.flatnonzero(odd) for k, item in enumerate(read_packed(joined[begin[r] : end[r]]))]
+    if extra:
+        place = np.concatenate((left[plain], np.array([k for _, k, _ in extra], np.int64)))
+        owners = np.concatenate((owners, np.array([r for r, _, _ in extra], np.int64)))
+        order = np.lexsort((place, owners))
+        owners = owners[order]
+        child = pa.concat_arrays([child, pa.array([item for _, _, item in extra], pa.string())]).take(pa.array(order))
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(owners, minlength=rows)))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), child)
+
+
+def _copied(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.StringArray:
+    """The byte ranges start..stop of a value buffer as strings of their own."""
+    size = stop - start
+    offsets = np.concatenate(([0], np.cumsum(size)))
+    picked = data[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - start, size)]
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(picked))
 
 
 def split_packed(df: DataFrame, value: str, *, item: str = "item", pos: str = "pos", least: int = 1) -> DataFrame:
