@@ -31,7 +31,10 @@ def query(sql: str | None = None):
     return add
 
 
-_SHOWN = ["id", "name", "priority", F.round("text_rank", 6).alias("text_rank"), F.round("distance_m", 1).alias("distance_m")]
+def _shown(rows):
+    return rows.select("id", "name", "priority", F.round("text_rank", 6).alias("text_rank"), F.round("distance_m", 1).alias("distance_m"))
+
+
 PREFIX = "market ha"
 
 
@@ -59,7 +62,7 @@ _D = 50_000 / 111_000
 @query(f"""WITH {Q}, {_X}, m AS (SELECT id, {_R} AS r, 3 AS pr, row_number() OVER (ORDER BY deg, id) AS pos FROM x WHERE hit AND lat BETWEEN {LAT} - {_D}::DOUBLE AND {LAT} + {_D}::DOUBLE AND lon BETWEEN {LON} - {_D}::DOUBLE AND {LON} + {_D}::DOUBLE QUALIFY pos <= 200), {_rank_sql('', 200)}""")
 def autocomplete(spark, sf_dir):
     """What a half-typed text completes to around a point: a pool of near ones, ranked and trimmed."""
-    return s.search(stored_places(spark, sf_dir), s.Request(query=PREFIX, lat=LAT, lon=LON, autocomplete=True)).select(*_SHOWN)
+    return _shown(s.search(stored_places(spark, sf_dir), s.Request(query=PREFIX, lat=LAT, lon=LON, autocomplete=True)))
 
 
 _FAR = (-45.0, 100.0)  # nothing is there
@@ -69,7 +72,7 @@ _FAR = (-45.0, 100.0)  # nothing is there
 UNION ALL SELECT id, best * (0.3::DOUBLE + 0.7::DOUBLE * cover / 2) * demote, 4, row_number() OVER (ORDER BY round(whole, 9) DESC, id) AS pos FROM x WHERE name IS NOT NULL AND whole >= 0.3 QUALIFY pos <= 20), {_rank_sql('', 200)}""".replace(str(LAT), f"({_FAR[0]})").replace(str(LON), f"({_FAR[1]})"))
 def autocomplete_retry(spark, sf_dir):
     """Nothing near answers, so the whole table is asked."""
-    return s.search(stored_places(spark, sf_dir), s.Request(query=PREFIX, lat=_FAR[0], lon=_FAR[1], autocomplete=True)).select(*_SHOWN)
+    return _shown(s.search(stored_places(spark, sf_dir), s.Request(query=PREFIX, lat=_FAR[0], lon=_FAR[1], autocomplete=True)))
 
 
 _VEC = "list_transform(range(64), lambda k: (((k * 37 + 11) % 64) - 31.5)::DOUBLE)"
@@ -80,7 +83,7 @@ m AS (SELECT id, c AS r, 5 AS pr, row_number() OVER (ORDER BY round(c, 9) DESC,
 def semantic_fill(spark, sf_dir):
     """A text that no name holds: the places nearest to the query's vector fill the page."""
     vector = [float((k * 37 + 11) % 64) - 31.5 for k in range(64)]
-    return s.search(stored_places(spark, sf_dir), s.Request(query="qqqqqq xxzzxx", lat=LAT, lon=LON, vector=vector)).select(*_SHOWN)
+    return _shown(s.search(stored_places(spark, sf_dir), s.Request(query="qqqqqq xxzzxx", lat=LAT, lon=LON, vector=vector)))
 
 
 _MEMBERS = "mb AS (SELECT osm_id % 700 AS relation_id, osm_type AS member_type, osm_id AS member_ref FROM p WHERE tags['public_transport'] IS NOT NULL OR tags['railway'] IS NOT NULL OR tags['highway'] IS NOT NULL OR tags['entrance'] IS NOT NULL OR osm_id % 9 = 0)"
@@ -207,7 +210,7 @@ def enrichment_state(spark, sf_dir):
 
 
 _CELLS = f"""q AS (SELECT left(id, 4) AS area, lat, lon, remaining * 1.25::DOUBLE AS m FROM r),
-ce AS (SELECT DISTINCT area, y, x FROM (SELECT area, floor(lat / 0.002::DOUBLE + 0.5) + dy AS y, floor(lon / 0.002::DOUBLE + 0.5) + dx AS x, lat, lon, m FROM q, range(-8, 9) a(dy), range(-9, 10) b(dx)) WHERE {hav('lat', 'lon', 'y * 0.002', 'x * 0.002')} <= m)"""
+ce AS (SELECT DISTINCT area, y, x FROM (SELECT area, floor(lat / 0.002::DOUBLE + 0.5) + dy AS y, floor(lon / 0.002::DOUBLE + 0.5) + dx AS x, lat, lon, m FROM (SELECT *, unnest(range(-k, k + 1)) AS dx FROM (SELECT *, ceil(m / 111000 / greatest(0.01, cos(radians(lat))) / 0.002)::BIGINT + 1 AS k FROM q)), range(-8, 9) a(dy)) WHERE {hav('lat', 'lon', 'y * 0.002', 'x * 0.002')} <= m)"""
 
 
 @query(f"""WITH {S}, {_BUDGET}, {_CELLS}, e AS (SELECT area, count(*) FILTER (WHERE NOT EXISTS (SELECT 1 FROM ce n WHERE n.area = ce.area AND n.y = ce.y + d.dy AND n.x = ce.x + d.dx)) AS edges, count(DISTINCT (y, x)) AS cells FROM ce, (VALUES (0, 1), (0, -1), (1, 0), (-1, 0)) d(dy, dx) GROUP BY 1) SELECT area, cells, edges FROM e""")

@@ -378,7 +378,7 @@ def grid_coarsen(spark, sf_dir):
 
 
 @query(f"""WITH {S}, {_BUDGET}, q AS (SELECT lat, lon, remaining * 1.25::DOUBLE AS m FROM r),
-ce AS (SELECT DISTINCT y, x FROM (SELECT floor(lat / 0.002::DOUBLE + 0.5) + dy AS y, floor(lon / 0.002::DOUBLE + 0.5) + dx AS x, lat, lon, m FROM q, range(-8, 9) a(dy), range(-9, 10) b(dx)) WHERE {hav('lat', 'lon', 'y * 0.002', 'x * 0.002')} <= m) SELECT y::BIGINT AS y, x::BIGINT AS x FROM ce""")
+ce AS (SELECT DISTINCT y, x FROM (SELECT floor(lat / 0.002::DOUBLE + 0.5) + dy AS y, floor(lon / 0.002::DOUBLE + 0.5) + dx AS x, lat, lon, m FROM (SELECT *, unnest(range(-k, k + 1)) AS dx FROM (SELECT *, ceil(m / 111000 / greatest(0.01, cos(radians(lat))) / 0.002)::BIGINT + 1 AS k FROM q)), range(-8, 9) a(dy)) WHERE {hav('lat', 'lon', 'y * 0.002', 'x * 0.002')} <= m) SELECT y::BIGINT AS y, x::BIGINT AS x FROM ce""")
 def isochrone_cells(spark, sf_dir):
     """What can be walked to from the stops with the time they have left."""
     return t.reach_cells(_budget(spark, sf_dir), 0.002).select(F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))

@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 from collections import Counter
 
 import pytest
@@ -43,6 +45,11 @@ def test_entry_and_names(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def test_queries_are_listed_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 100)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(entry.__file__), capture_output=True, text=True, timeout=120).stdout.strip() == "True"
+
+
 def test_core_stands_alone():
     """Nothing outside the llm subpackage imports it."""
     for path in glob.glob(os.path.join(os.path.dirname(entry.__file__), "geoloom", "**", "*.py"), recursive=True):
