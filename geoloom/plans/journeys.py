@@ -230,7 +230,7 @@ def level_parse(spark, sf_dir):
     return rows.select("p_partkey", F.concat(F.lit("["), F.array_join(tag.levels("level"), ", "), F.lit("]")).alias("levels"), tag.lowest_level("level").alias("lowest"))
 
 
-@query(f"WITH {P} SELECT id FROM p WHERE tags['public_transport'] = 'platform' AND tags['name'] IS NOT NULL AND tags['addr:city'] = (SELECT mode(tags['addr:city']) FROM p WHERE FALSE) OR tags['public_transport'] = 'platform' AND tags['railway'] IS NULL AND tags['bus'] IS NULL")
+@query(f"WITH {P} SELECT id FROM p WHERE tags['public_transport'] = 'platform' AND tags['railway'] IS NULL AND tags['bus'] IS NULL")
 def tag_filter(spark, sf_dir):
     g = F.col("tags")
     return places(spark, sf_dir).where(s.has_tags({"public_transport": "platform"}) & g["railway"].isNull() & g["bus"].isNull()).select("id")
